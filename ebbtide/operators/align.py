@@ -5,7 +5,8 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from ebbtide.functions.text import literal, name
 
 
 class Alignment(NamedTuple):
@@ -33,10 +34,7 @@ def align_features(
         raise ValueError("the list of expected features is empty")
     present = set(df.columns)
     values = fill if isinstance(fill, dict) else dict.fromkeys(feature_names, fill)
-    return df.select(
-        *[F.col(f"`{k}`") for k in keep],
-        *[
-            F.col(f"`{f}`") if f in present else F.lit(values.get(f, 0)).cast("double").alias(f)
-            for f in feature_names
-        ],
+    return df.selectExpr(
+        *[name(k) for k in keep],
+        *[name(f) if f in present else f"{literal(values.get(f, 0))} AS {name(f)}" for f in feature_names],
     )

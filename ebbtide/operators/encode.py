@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.functions.features import ip_class, mapped_code, ordinal_code, repaired
-from ebbtide.schema import IP_COLUMN, ORDINAL_CODES, ORDINAL_LEVELS, string_fields
+from ebbtide.functions.text import literal, name, replacing
+from ebbtide.schema import (
+    IP_COLUMN, ORDINAL_CODES, ORDINAL_LEVELS, TYPO, TYPO_FIX, UNKNOWN, string_fields,
+)
 
 MAX_LEVELS = 2_000
 
@@ -65,11 +68,15 @@ def one_hot(
     columns = _text(df, levels)
     dummies = {}
     for c in columns:
-        value = repaired(_q(c)) if repair else _q(c)
         for level in levels[c][1:] if drop_first else levels[c]:
-            dummies[f"{c}_{level}"] = F.coalesce((value == level).cast("int"), F.lit(0))
-    out = df.withColumns(dummies)
-    return out if keep_source else out.drop(*columns)
+            hit = f"{name(c)} = {literal(level)}"
+            if repair and level == UNKNOWN:
+                hit += f" OR {name(c)} IS NULL"
+            elif repair and level == TYPO_FIX:
+                hit += f" OR {name(c)} = {literal(TYPO)}"
+            dummies[f"{c}_{level}"] = f"CASE WHEN {hit} THEN 1 ELSE 0 END"
+    kept = df.columns if keep_source else [c for c in df.columns if c not in columns]
+    return df.selectExpr(*replacing(kept, dummies))
 
 
 def one_hot_residual(df: DataFrame, ignore: list[str] = ()) -> tuple[DataFrame, dict[str, list[str]]]:

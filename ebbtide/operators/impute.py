@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ebbtide.functions.text import literal, name, replacing
 from ebbtide.operators.quantiles import quantiles
 from ebbtide.schema import numeric_fields, string_fields
 
@@ -21,10 +22,10 @@ def fit_medians(df: DataFrame, columns: list[str] | None = None, **quantile_opti
 
 def impute_median(df: DataFrame, medians: dict[str, float | None]) -> DataFrame:
     """Fill missing numbers; imputed columns are doubles because a median may be fractional."""
-    return df.withColumns({
-        c: F.coalesce(_q(c).cast("double"), F.lit(m).cast("double"))
+    return df.selectExpr(*replacing(df.columns, {
+        c: f"coalesce(CAST({name(c)} AS DOUBLE), {literal(m)})"
         for c, m in medians.items() if c in df.columns
-    })
+    }))
 
 
 def fit_modes(df: DataFrame, columns: list[str] | None = None) -> dict[str, str | None]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ebbtide.functions.text import literal, name
 from ebbtide.operators.quantiles import quantiles
 from ebbtide.schema import (
     BOX_COLUMNS, HISTOGRAM_COLUMNS, LABEL, OUTLIER_COLUMNS, VALUE_COUNT_COLUMNS, numeric_fields,
@@ -17,15 +18,14 @@ def _q(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def unpivot_aggregates(
-    df: DataFrame, per_column: dict[str, list[Column]], names: list[str], key: str = "column"
-) -> DataFrame:
-    """One global aggregate over all columns, turned into one row per column."""
-    wide = df.agg(*[
-        F.struct(F.lit(c).alias(key), *[e.alias(n) for e, n in zip(exprs, names)]).alias(f"s{i}")
+def unpivot_aggregates(df: DataFrame, per_column: dict[str, dict[str, str]]) -> DataFrame:
+    """One global aggregate over all columns (SQL texts), turned into one row per column."""
+    wide = df.selectExpr(*[
+        f"named_struct('column', {literal(c)}, "
+        + ", ".join(f"'{out}', {expr}" for out, expr in exprs.items()) + f") AS s{i}"
         for i, (c, exprs) in enumerate(per_column.items())
     ])
-    return wide.select(F.inline(F.array(*[F.col(s) for s in wide.columns])))
+    return wide.selectExpr(f"inline(array({', '.join(wide.columns)}))")
 
 
 def profile_shape(df: DataFrame) -> DataFrame:
@@ -42,19 +42,18 @@ def profile_dtypes(df: DataFrame) -> DataFrame:
 
 def missing_report(df: DataFrame, order_by: str = "missing") -> DataFrame:
     """Missing count and percent of the columns that miss values, largest first."""
-    total = F.count(F.lit(1))
-    per_column = {
-        c: [(total - F.count(_q(c))), F.round((total - F.count(_q(c))) / total * 100, 2)]
-        for c in df.columns
-    }
-    report = unpivot_aggregates(df, per_column, ["missing", "percent"]).filter("missing > 0")
+    counts = unpivot_aggregates(
+        df, {c: {"total": "count(1)", "present": f"count({name(c)})"} for c in df.columns})
+    report = counts.filter("present < total").selectExpr(
+        "column", "total - present AS missing",
+        "round((total - present) / total * 100, 2) AS percent")
     return report.orderBy(F.desc(order_by), "column")
 
 
 def remaining_nulls(df: DataFrame) -> DataFrame:
     """Total of missing cells."""
-    cells = sum((F.count(F.lit(1)) - F.count(_q(c)) for c in df.columns), F.lit(0))
-    return df.agg(cells.alias("missing"))
+    cells = " + ".join(f"(count(1) - count({name(c)}))" for c in df.columns)
+    return df.selectExpr(f"{cells} AS missing")
 
 
 def describe_numeric(df: DataFrame, columns: list[str] | None = None, **quantile_options) -> DataFrame:
@@ -63,13 +62,13 @@ def describe_numeric(df: DataFrame, columns: list[str] | None = None, **quantile
     quartiles = quantiles(df, columns, [0.25, 0.5, 0.75], **quantile_options)
     per_column = {}
     for c in columns:
-        v = _q(c).cast("double")
-        per_column[c] = [
-            F.count(v), F.avg(v), F.stddev_samp(v), F.min(v),
-            *[F.lit(x).cast("double") for x in quartiles[c]], F.max(v),
-        ]
-    return unpivot_aggregates(
-        df, per_column, ["n", "mean", "std", "min", "q25", "q50", "q75", "max"])
+        v = f"CAST({name(c)} AS DOUBLE)"
+        q25, q50, q75 = (literal(x) for x in quartiles[c])
+        per_column[c] = {
+            "n": f"count({v})", "mean": f"avg({v})", "std": f"stddev_samp({v})",
+            "min": f"min({v})", "q25": q25, "q50": q50, "q75": q75, "max": f"max({v})",
+        }
+    return unpivot_aggregates(df, per_column)
 
 
 def class_distribution(df: DataFrame, label: str = LABEL, by: str | None = None) -> DataFrame:
@@ -90,9 +89,11 @@ def iqr_outliers(df: DataFrame, columns: list[str] = OUTLIER_COLUMNS, **quantile
     per_column = {}
     for c in columns:
         low, high = _fences(*quartiles[c])
-        outside = F.coalesce((_q(c) < low) | (_q(c) > high), F.lit(False))
-        per_column[c] = [F.lit(low).cast("double"), F.lit(high).cast("double"), F.count_if(outside)]
-    return unpivot_aggregates(df, per_column, ["lower_fence", "upper_fence", "outliers"])
+        per_column[c] = {
+            "lower_fence": literal(low), "upper_fence": literal(high),
+            "outliers": f"count_if({name(c)} < {literal(low)} OR {name(c)} > {literal(high)})",
+        }
+    return unpivot_aggregates(df, per_column)
 
 
 def _fences(q1: float | None, q3: float | None) -> tuple[float | None, float | None]:
@@ -110,14 +111,14 @@ def box_stats(df: DataFrame, columns: list[str] = BOX_COLUMNS, **quantile_option
     for c in columns:
         q1, q2, q3 = quartiles[c]
         low, high = _fences(q1, q3)
-        v = _q(c).cast("double")
-        inside = F.when((v >= low) & (v <= high), v)
-        per_column[c] = [
-            F.min(inside), *[F.lit(q).cast("double") for q in (q1, q2, q3)], F.max(inside),
-            F.count_if(F.coalesce((v < low) | (v > high), F.lit(False))),
-        ]
-    return unpivot_aggregates(
-        df, per_column, ["whisker_low", "q1", "median", "q3", "whisker_high", "outliers"])
+        v, lo, hi = f"CAST({name(c)} AS DOUBLE)", literal(low), literal(high)
+        inside = f"CASE WHEN {v} BETWEEN {lo} AND {hi} THEN {v} END"
+        per_column[c] = {
+            "whisker_low": f"min({inside})", "q1": literal(q1), "median": literal(q2),
+            "q3": literal(q3), "whisker_high": f"max({inside})",
+            "outliers": f"count_if({v} < {lo} OR {v} > {hi})",
+        }
+    return unpivot_aggregates(df, per_column)
 
 
 def histogram(df: DataFrame, columns: list[str] = HISTOGRAM_COLUMNS, bins: int = 50) -> DataFrame:
@@ -136,7 +137,8 @@ def histogram(df: DataFrame, columns: list[str] = HISTOGRAM_COLUMNS, bins: int =
         width = (high - low) / bins
         frame.append((c, low, width))
         position = F.floor((_q(c).cast("double") - low) / (high - low) * bins).cast("int")
-        hits.append(F.struct(F.lit(c).alias("column"), F.least(position, F.lit(bins - 1)).alias("bin")))
+        last = F.when(position >= bins, bins - 1).otherwise(position)
+        hits.append(F.struct(F.lit(c).alias("column"), last.alias("bin")))
     if not frame:
         return df.sparkSession.createDataFrame(
             [], "column string, bin int, bin_low double, bin_high double, n bigint")

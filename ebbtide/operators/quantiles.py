@@ -14,6 +14,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ebbtide.functions.text import name
+
 BUFFER_ROWS = 1_000_000
 BINS = 512
 
@@ -28,25 +30,27 @@ def quantiles(
     """Quantiles per column, nulls ignored; ``accuracy`` asks for the approximate mode."""
     if not columns:
         return {}
-    probs = F.array(*[F.lit(float(p)) for p in probabilities])
-    values = {c: F.col(f"`{c}`").cast("double") for c in columns}
+    probs = "array(" + ", ".join(f"{float(p)!r}D" for p in probabilities) + ")"
     if accuracy is not None:
-        row = df.agg(*[F.percentile_approx(v, probs, accuracy).alias(c) for c, v in values.items()]).first()
+        call = f"percentile_approx(CAST({{}} AS DOUBLE), {probs}, {accuracy})"
     elif df.count() <= buffer_rows:
-        row = df.agg(*[F.percentile(v, probs).alias(c) for c, v in values.items()]).first()
+        call = f"percentile(CAST({{}} AS DOUBLE), {probs})"
     else:
         return _refined(df, columns, probabilities)
-    return {c: list(row[c]) if row[c] is not None else [None] * len(probabilities) for c in columns}
+    (row,) = df.selectExpr(*[f"{call.format(name(c))} AS q{i}" for i, c in enumerate(columns)]).collect()
+    return {
+        c: list(row[i]) if row[i] is not None else [None] * len(probabilities)
+        for i, c in enumerate(columns)
+    }
 
 
 def _refined(
     df: DataFrame, columns: list[str], probabilities: list[float], bins: int = BINS
 ) -> dict[str, list[float | None]]:
-    data = df.select(*[F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    data = df.selectExpr(*[f"CAST({name(c)} AS DOUBLE) AS v{i}" for i, c in enumerate(columns)])
     names = data.columns
-    stats = data.agg(*[
-        F.struct(F.count(v), F.min(v), F.max(v)).alias(v) for v in names
-    ]).first()
+    (stats,) = data.selectExpr(
+        *[f"struct(count({v}), min({v}), max({v})) AS {v}" for v in names]).collect()
 
     # Zero-based ranks needed by each quantile: the two neighbours of its position.
     open_ranks: dict[tuple[str, int], tuple[float, float, int]] = {}
@@ -97,21 +101,14 @@ def _histogram(data: DataFrame, intervals: list[tuple[str, float, float]], bins:
 
     The bin number grows with the value, so bins split the sorted order cleanly.
     """
-    hits = [
-        F.when(
-            F.col(v).between(low, high),
-            F.struct(
-                F.lit(i).alias("i"),
-                F.least(
-                    F.floor((F.col(v) / 2 - low / 2) / (high / 2 - low / 2) * bins), F.lit(bins - 1)
-                ).alias("bin"),
-                F.col(v).alias("value"),
-            ),
-        )
+    hits = ", ".join(
+        f"CASE WHEN {v} BETWEEN {low!r}D AND {high!r}D THEN named_struct('i', {i}, 'bin', "
+        f"least(floor(({v} / 2 - {low / 2!r}D) / {high / 2 - low / 2!r}D * {bins}), {bins - 1}), "
+        f"'value', {v}) END"
         for i, (v, low, high) in enumerate(intervals)
-    ]
+    )
     return (
-        data.select(F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("h"))
+        data.selectExpr(f"explode(array_compact(array({hits}))) AS h")
         .groupBy("h.i", "h.bin")
         .agg(F.min("h.value").alias("low"), F.max("h.value").alias("high"),
              F.count(F.lit(1)).alias("n"))
