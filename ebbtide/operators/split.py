@@ -110,16 +110,23 @@ def stratified_folds(
     df: DataFrame, k: int = 5, seed: int = 42, id_col: str = ID, label: str = LABEL
 ) -> DataFrame:
     """Add ``fold`` 0..k-1: k near-equal consecutive key ranges inside each class."""
+    return df.withColumn("fold", fold_column(df, k, seed, id_col, label))
+
+
+def fold_column(
+    fitted_on: DataFrame, k: int = 5, seed: int = 42, id_col: str = ID, label: str = LABEL
+) -> Column:
+    """Fold of a row, from key ranges that are balanced on the given rows."""
     key = shuffle_key(id_col, seed)
 
     def upper_ranks(n: int) -> list[int]:
         size, extra = divmod(n, k)
         return [size * (i + 1) + min(i + 1, extra) for i in range(k - 1)]
 
-    cuts = rank_cuts(df, key, upper_ranks, label)
+    cuts = rank_cuts(fitted_on, key, upper_ranks, label)
     fold = _per_class(label, cuts, lambda values: sum(
         (F.when(key > v, 1).otherwise(0) if v is not None else F.lit(1) for v in values), F.lit(0)))
-    return df.withColumn("fold", fold.cast("int"))
+    return fold.cast("int")
 
 
 def sample_n(df: DataFrame, n: int = 3000, seed: int = 42, id_col: str = ID) -> DataFrame:

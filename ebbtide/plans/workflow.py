@@ -14,7 +14,7 @@ from ebbtide.operators.encode import fit_levels, one_hot, ordinal_encode_mapped
 from ebbtide.operators.impute import fit_medians, fit_modes, impute_median, impute_mode
 from ebbtide.operators.scale import fit_scaler, scale
 from ebbtide.operators.score import score_batch
-from ebbtide.operators.split import stratified_folds, stratified_split
+from ebbtide.operators.split import fold_column, stratified_split
 from ebbtide.operators.train import (
     Comparison, Settings, candidates, compare_models, fit_voting, gradient_boosting, random_forest,
 )
@@ -46,8 +46,12 @@ def prepare(customers: DataFrame, fit_on: str = "train", scaling: str = "all", f
     ``fit_on="all"`` fits medians and scales on all rows, before the split.
     """
     split = stratified_split(customers)
-    folded = stratified_folds(split, folds).withColumn(
-        "sample_key", unit_interval(shuffle_key(ID, 7)))
+    # The folds divide the training rows, with a key of their own: with the split's key the
+    # first fold would be the test set.
+    folded = split.withColumns({
+        "fold": fold_column(split.filter("split = 'train'"), folds, seed=43),
+        "sample_key": unit_interval(shuffle_key(ID, 7)),
+    })
     rows = folded if fit_on == "all" else folded.filter("split = 'train'")
     features = FeatureBuilder(scaling=scaling).fit(rows.drop("split", "fold", "sample_key"))
     return Prepared(features.features(folded, [ID, LABEL, "split", "fold", "sample_key"]), features)
