@@ -30,7 +30,7 @@ class Sweep(NamedTuple):
     best_k: int
 
 
-def kmeans_sweep(df: DataFrame, ks=range(2, 11), starts: int = 10) -> Sweep:
+def kmeans_sweep(df: DataFrame, ks=range(2, 11), starts: int = 10, max_iter: int = 300) -> Sweep:
     """Inertia and silhouette per k; the first largest silhouette wins.
 
     The silhouette is that of squared Euclidean distance, which needs one pass; the plain
@@ -41,7 +41,7 @@ def kmeans_sweep(df: DataFrame, ks=range(2, 11), starts: int = 10) -> Sweep:
     rows = []
     with persisted(df):
         for k in ks:
-            model = fit_kmeans(df, k, starts)
+            model = fit_kmeans(df, k, starts, max_iter=max_iter)
             rows.append((k, float(model.summary.trainingCost), evaluator.evaluate(model.transform(df))))
     table = df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
     return Sweep(table, max(rows, key=lambda r: r[2])[0])

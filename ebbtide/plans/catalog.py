@@ -122,8 +122,8 @@ def roundtrip_processed(spark, d):
     numeric = [c for c in model.feature_names if c in (*NUMERIC_COLUMNS, *ENGINEERED_COLUMNS, *ORDINAL_LEVELS)]
     dummies = [c for c in model.feature_names if c not in numeric]
     hot = ", ".join(f"CASE WHEN {name(c)} = 1 THEN {literal(c)} END" for c in dummies)
-    return _rounded(stored.selectExpr(
-        ID, LABEL, *[name(c) for c in numeric], f"concat_ws(',', {hot}) AS hot"))
+    return stored.selectExpr(
+        ID, LABEL, *[name(c) for c in numeric], f"concat_ws(',', {hot}) AS hot")
 
 
 def train_test_read(spark, d):
@@ -234,7 +234,7 @@ def predictions_agree(spark, d):
 
 def impute_median(spark, d):
     rows = clean.sentinel_to_null(customer_table(spark, d)).select(ID, *NUMERIC_COLUMNS)
-    return _rounded(impute.impute_median(rows, impute.fit_medians(rows, NUMERIC_COLUMNS)))
+    return impute.impute_median(rows, impute.fit_medians(rows, NUMERIC_COLUMNS))
 
 
 def impute_mode(spark, d):
@@ -304,7 +304,7 @@ def pca_variance(spark, d):
 
 def kmeans_sweep(spark, d):
     vectors, _ = _explored(spark, d)
-    result = cluster.kmeans_sweep(vectors, starts=1)
+    result = cluster.kmeans_sweep(vectors, starts=1, max_iter=30)
     return result.table.withColumn("best", F.col("k") == result.best_k)
 
 
@@ -393,7 +393,7 @@ def risk_profiles(spark, d):
         "profile", "churn_prediction", "churn_probability", "churn_risk_level")
 
 
-def stream_scoring(spark, d):
+def _streamed(spark, d):
     source, target = new_path(spark, "arriving"), new_path(spark, "stream")
     rows = customer_table(spark, d)
     rows.write.option("maxRecordsPerFile", -(-rows.count() // 3)).parquet(source)
@@ -401,9 +401,19 @@ def stream_scoring(spark, d):
         spark, source, RAW_SCHEMA, _classifier(spark, d), target, f"{target}/checkpoint",
         files_per_batch=2)
     query.awaitTermination()
-    kept = spark.read.parquet(f"{target}/scored").select(
-        ID, "churn_prediction", "churn_probability", "churn_risk_level", "success")
-    return kept
+    return spark.read.parquet(f"{target}/scored"), spark.read.parquet(f"{target}/rejected")
+
+
+def stream_scoring(spark, d):
+    scored, _ = _streamed(spark, d)
+    return scored.select(ID, "churn_prediction", "churn_probability", "churn_risk_level", "success")
+
+
+def stream_counts(spark, d):
+    """Where each arriving customer landed: scored, failed alone, or rejected with its rules."""
+    scored, refused = _streamed(spark, d)
+    landed = scored.select(ID, F.when(F.col("success"), "scored").otherwise("failed").alias("landed"))
+    return landed.unionByName(refused.select(ID, F.lit("rejected").alias("landed")))
 
 
 def high_risk_report(spark, d):
@@ -486,5 +496,6 @@ QUERIES: dict[str, Query] = {
     "risk_distribution": lambda s, d: report.risk_distribution(_banded(s, d)),
     "risk_profiles": risk_profiles,
     "stream_scoring": stream_scoring,
+    "stream_counts": stream_counts,
     "high_risk_report": high_risk_report,
 }

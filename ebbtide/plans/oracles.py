@@ -98,7 +98,7 @@ def _processed() -> str:
     hot = ", ".join(f"'{c}_' || ({_repaired(c)})" for c in NOMINAL_COLUMNS)
     values = ", ".join(f"cast({e} AS DOUBLE) AS {c}" for c, e in numbers.items())
     filled = ", ".join(
-        f"round(coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM u)), 6) AS {c}" for c in numbers)
+        f"coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM u)) AS {c}" for c in numbers)
     return _customers(
         f"SELECT CustomerID, Churn, hot, {filled} FROM u",
         f", u AS (SELECT CustomerID, Churn, {values}, concat_ws(',', {hot}, 'IPClass_' || ({IP_SQL}), "
@@ -207,10 +207,10 @@ def _scaled() -> str:
     return _customers(f"SELECT CustomerID, {cells} FROM f, (SELECT {stats} FROM f)", _medians(False))
 
 
-def _violations() -> str:
+def _rules(skip_ratio: bool) -> str:
     rules = []
     for f in REQUEST_FIELDS:
-        if f.name == "ReturnRatio":
+        if skip_ratio and f.name == "ReturnRatio":
             continue
         v = f.name
         rules.append(f"CASE WHEN {v} IS NULL THEN '{v}:required' END")
@@ -220,9 +220,18 @@ def _violations() -> str:
             rules.append(f"CASE WHEN {v} < {f.low} THEN '{v}>={f.low}' END")
         if f.high is not None:
             rules.append(f"CASE WHEN {v} > {f.high} THEN '{v}<={f.high}' END")
+    return f"concat_ws(',', {', '.join(rules)})"
+
+
+def _violations() -> str:
     return _customers(
         "SELECT CustomerID, violations, 0.05::DOUBLE AS ReturnRatio, violations = '' AS valid FROM "
-        f"(SELECT CustomerID, concat_ws(',', {', '.join(rules)}) AS violations FROM customers)")
+        f"(SELECT CustomerID, {_rules(True)} AS violations FROM customers)")
+
+
+# A row scores only if every number it brings, after cleaning, is there.
+COMPLETE = " AND ".join(f"({_coded(c)}) IS NOT NULL" for c in NUMERIC_COLUMNS) + "".join(
+    f" AND ({e}) IS NOT NULL" for e in ENGINEERED.values())
 
 
 REPORT = GIVEN + """, c AS (
@@ -342,8 +351,7 @@ ORACLES: dict[str, str] = {
         "SELECT CustomerID, coalesce(CASE WHEN CustomerID % 89 <> 0 THEN y_pred END = v3, false) "
         "AS predictions_agree FROM given", GIVEN),
     "impute_median": _customers(
-        "SELECT CustomerID, " + ", ".join(f"round({c}, 6) AS {c}" for c in NUMERIC_COLUMNS) + " FROM f",
-        _medians(True)),
+        "SELECT CustomerID, " + ", ".join(NUMERIC_COLUMNS) + " FROM f", _medians(True)),
     "impute_mode": _customers(
         "SELECT CustomerID, " + ", ".join(f"coalesce({c}, {_mode(c)}) AS {c}" for c in TEXTS) + " FROM customers"),
     "standard_scale": _scaled(),
@@ -364,6 +372,14 @@ ORACLES: dict[str, str] = {
         "FROM pts p JOIN pts q ON p.id <> q.id) GROUP BY a",
         ", pts AS (SELECT min(CustomerID) AS id, cast(Recency AS DOUBLE) AS x, "
         "cast(UniqueProducts AS DOUBLE) AS y FROM customers WHERE Churn = 1 GROUP BY x, y)"),
+    "model_roundtrip": _customers("SELECT count(*) AS n, 0 AS mismatches FROM customers"),
+    "score_batch_counts": _customers(
+        f"SELECT count(*) AS total, count(*) FILTER (ok) AS success_count, "
+        f"count(*) FILTER (NOT ok) AS error_count FROM (SELECT {COMPLETE} AS ok FROM customers)"),
+    "stream_counts": _customers(
+        "SELECT CustomerID, CASE WHEN violations <> '' THEN 'rejected' WHEN ok THEN 'scored' "
+        f"ELSE 'failed' END AS landed FROM (SELECT CustomerID, {COMPLETE} AS ok, {_rules(False)} "
+        "AS violations FROM customers)"),
     "vote": _customers(
         "SELECT CustomerID, CASE WHEN v1 + v2 + v3 >= 2 THEN 1 ELSE 0 END AS vote FROM given", GIVEN),
     "confusion_matrix": _customers(
