@@ -31,17 +31,16 @@ def running_totals(
         df = stage(df, "ordered")  # read by the quantiles, the totals and the windows
         cuts = df.approxQuantile(order_col, [i / cells for i in range(1, cells)], 0.25 / cells)
         edges = sorted(set(cuts))
-    if edges:
-        splits = [-float("inf"), *edges, float("inf")]
-        df = Bucketizer(splits=splits, inputCol=order_col, outputCol="__cell").transform(df)
-        df = df.withColumn("__cell", -F.col("__cell"))
-        in_cell = Window.partitionBy("__cell").orderBy(F.desc(order_col))
-    else:
-        df = df.withColumn("__cell", F.lit(0.0))
-        in_cell = Window.partitionBy("__cell").orderBy(F.desc(order_col))
+    if not edges:
+        # Few rows, by count: one cell, nothing comes before it.
+        one = Window.orderBy(F.desc(order_col))
+        return _numbered(df, value_cols, one)
 
+    splits = [-float("inf"), *edges, float("inf")]
+    celled = Bucketizer(splits=splits, inputCol=order_col, outputCol="__cell").transform(df)
+    celled = celled.withColumn("__cell", -F.col("__cell"))
     first = F.max_by(F.struct(*value_cols), order_col).alias("first")
-    totals = df.groupBy("__cell").agg(first, *[F.sum(v).alias(f"t_{v}") for v in value_cols])
+    totals = celled.groupBy("__cell").agg(first, *[F.sum(v).alias(f"t_{v}") for v in value_cols])
     # One row per cell: a plain window over at most MAX_CELLS rows.
     over_cells = Window.orderBy("__cell")
     before = over_cells.rowsBetween(Window.unboundedPreceding, -1)
@@ -51,14 +50,25 @@ def running_totals(
         F.lead("first").over(over_cells).alias("following"),
         (F.row_number().over(over_cells) == 1).alias("first_cell"),
     )
-    upto = in_cell.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = df.join(F.broadcast(offsets), "__cell")
-    out = joined.withColumns({
-        **{f"cum_{v}": F.sum(v).over(upto) + F.col(f"off_{v}") for v in value_cols},
-        "__next": F.coalesce(F.lead(F.struct(*value_cols)).over(in_cell), F.col("following")),
-        "is_first": F.col("first_cell") & (F.row_number().over(in_cell) == 1),
+    in_cell = Window.partitionBy("__cell").orderBy(F.desc(order_col))
+    joined = celled.join(F.broadcast(offsets), "__cell")
+    return _numbered(joined, value_cols, in_cell, df.columns)
+
+
+def _numbered(
+    df: DataFrame, value_cols: list[str], window: Window, columns: list[str] | None = None
+) -> DataFrame:
+    """Running totals inside the window, plus the offsets of the cells if there are any."""
+    split = columns is not None
+    upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    following = F.lead(F.struct(*value_cols)).over(window)
+    first = F.row_number().over(window) == 1
+    out = df.withColumns({
+        **{f"cum_{v}": F.sum(v).over(upto) + (F.col(f"off_{v}") if split else 0) for v in value_cols},
+        "__next": F.coalesce(following, F.col("following")) if split else following,
+        "is_first": F.col("first_cell") & first if split else first,
     })
     return out.select(
-        *df.drop("__cell").columns, *[f"cum_{v}" for v in value_cols],
+        *(columns or df.columns), *[f"cum_{v}" for v in value_cols],
         *[F.col(f"__next.{v}").alias(f"next_{v}") for v in value_cols],
         "is_first", F.col("__next").isNull().alias("is_last"))

@@ -1,0 +1,105 @@
+"""Quantiles, imputation, correlation, profile reports and scaling."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from ebbtide.operators import correlation, impute, profile, scale
+from ebbtide.operators.quantiles import quantiles
+
+
+def test_even_median_empty_column_and_tie(spark):
+    rows = spark.createDataFrame(
+        [(1.0, None, "b"), (2.0, None, "a"), (3.0, None, "b"), (10.0, None, "a"), (None, None, None)],
+        "x double, empty double, c string")
+    for options in ({}, {"buffer_rows": 0}):
+        assert impute.fit_medians(rows, ["x", "empty"], **options) == {"x": 2.5, "empty": None}
+    assert impute.fit_modes(rows, ["c"]) == {"c": "a"}
+    filled = impute.impute_mode(impute.impute_median(rows, {"x": 2.5, "empty": None}), {"c": "a"})
+    assert filled.filter("x IS NULL OR c IS NULL").count() == 0
+    assert filled.filter("empty IS NOT NULL").count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_refined_quantiles_equal_numpy(spark, seed):
+    rng = np.random.default_rng(seed)
+    n = 3001 + seed
+    values = {
+        "normal": rng.normal(size=n), "tail": np.exp(rng.normal(0, 8, n)),
+        # a third of the rows hold one value
+        "hot": np.where(rng.random(n) < 0.34, 7.0, rng.integers(0, 20, n)).astype(float),
+        "constant": np.full(n, 3.0), "close": 1.0 + np.arange(n) % 5 * np.finfo(float).eps,
+        "wide": rng.choice([-1e308, 1e308, 0.0, 1.0], n),
+    }
+    rows = spark.createDataFrame([tuple(map(float, r)) for r in zip(*values.values())], list(values))
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = quantiles(rows, list(values), probs, buffer_rows=0)
+    for name, data in values.items():
+        position = np.array(probs) * (n - 1)
+        low, high = np.sort(data)[np.floor(position).astype(int)], np.sort(data)[np.ceil(position).astype(int)]
+        with np.errstate(over="ignore"):
+            want = low + (high - low) * (position - np.floor(position))
+        np.testing.assert_allclose(got[name], want, rtol=1e-12)
+
+
+def test_approximate_mode_is_close(spark):
+    rows = spark.range(10_000).selectExpr("cast(id AS double) AS x")
+    assert abs(quantiles(rows, ["x"], [0.5], accuracy=1000)["x"][0] - 5000) <= 20
+
+
+def test_correlation_edges(spark):
+    base = np.arange(40.0)
+    noise = np.where(np.arange(40) % 2 == 0, 1.0, -1.0)
+    near = {r: base / base.std() - base.mean() / base.std() for r in ("above", "below")}
+    rows = [
+        (float(b), float(2 * b + 1), 5.0, 0.1, float(n), float(a)) for b, n, a in zip(base, noise, near["above"])
+    ]
+    frame = spark.createDataFrame(rows, ["a", "twice", "five", "tenth", "noise", "scaled"]).withColumn(
+        "gap", F.when(F.col("a") != 3, F.col("a") * -1))
+    got = {(r.x, r.y): r["corr"] for r in correlation.correlation_matrix(frame).collect()}
+    assert got["a", "twice"] == pytest.approx(1.0) and got["a", "gap"] == pytest.approx(-1.0)
+    assert all(v is None for k, v in got.items() if {"five", "tenth"} & set(k))
+    assert got["a", "noise"] == pytest.approx(np.corrcoef(base, noise)[0, 1])
+
+
+def test_correlation_survives_large_offsets(spark):
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=500), rng.normal(size=500)
+    frame = spark.createDataFrame([(float(a) + 1e9, float(b) - 1e9) for a, b in zip(x, y)], ["x", "y"])
+    assert correlation.correlation_matrix(frame).first()["corr"] == pytest.approx(np.corrcoef(x, y)[0, 1], abs=1e-6)
+
+
+def test_multicollinear_lists_the_later_column_and_never_the_target(spark):
+    frame = spark.range(30).selectExpr(
+        "cast(id AS double) AS a", "cast(id * 2 AS double) AS b", "cast(id % 7 AS double) AS c",
+        "cast(id AS int) AS Churn")
+    assert [r["column"] for r in correlation.multicollinear(frame).collect()] == ["b"]
+
+
+def test_duplicates_count_nulls_and_hot_copies(spark):
+    rows = [(1, None), (None, 1), (1, None), (2, "x")] + [(9, "hot")] * 50
+    frame = spark.createDataFrame([(a, None if b is None else str(b)) for a, b in rows], "a int, b string")
+    assert profile.duplicate_rows(frame).first()["duplicates"] == 1 + 49
+    assert profile.duplicate_rows(frame.filter("a = 2")).first()["duplicates"] == 0
+
+
+def test_histogram_edges(spark):
+    frame = spark.createDataFrame([(0.0, 5.0), (10.0, 5.0), (9.99, None), (None, 5.0)], "x double, flat double")
+    rows = profile.histogram(frame, ["x", "flat"], bins=10).collect()
+    counts = {(r["column"], r["bin"]): r["n"] for r in rows}
+    assert len(rows) == 20 and counts["x", 0] == 1 and counts["x", 9] == 2
+    assert counts["flat", 5] == 3 and sum(n for (c, _), n in counts.items() if c == "flat") == 3
+
+
+def test_missing_report_order(spark):
+    frame = spark.createDataFrame([(1, None, None), (2, None, 3), (3, 1, 3)], "a int, b int, c int")
+    report = profile.missing_report(frame).collect()
+    assert [(r["column"], r["missing"], r["percent"]) for r in report] == [("b", 2, 66.67), ("c", 1, 33.33)]
+    assert profile.remaining_nulls(frame).first()["missing"] == 3
+
+
+def test_scaler_uses_population_deviation(spark):
+    frame = spark.createDataFrame([(1.0, 4.0), (3.0, 4.0)], "x double, flat double")
+    fitted = scale.fit_scaler(frame, ["x", "flat"])
+    assert fitted == {"x": (2.0, 1.0), "flat": (4.0, 1.0)}
+    assert sorted(tuple(r) for r in scale.scale(frame, fitted).collect()) == [(-1.0, 0.0), (1.0, 0.0)]
