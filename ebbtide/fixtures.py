@@ -64,15 +64,15 @@ def _order_columns(orders: DataFrame) -> DataFrame:
 def _line_columns(orders: DataFrame, lines: DataFrame) -> DataFrame:
     keys = orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("k"))
     returned = F.col("l_returnflag") == "R"
-    # Grouping by (l_orderkey, k) reuses the join's partitioning; only order-level rows
-    # travel to the customer-level aggregate.
-    per_order = lines.join(keys, "l_orderkey").groupBy("l_orderkey", "k").agg(
+    # Lines are aggregated per order before the join: an order that holds a third of the
+    # lines is combined map-side, and the join sees one row per order.
+    per_order = lines.groupBy("l_orderkey").agg(
         F.sum("l_quantity").alias("q"), F.min("l_quantity").alias("qmin"),
         F.max("l_quantity").alias("qmax"), F.count(F.lit(1)).alias("n"),
         F.count_if(returned).alias("r"),
         F.count_if(returned & (F.col("l_linestatus") == "F")).alias("rf"),
     )
-    return per_order.groupBy("k").agg(
+    return per_order.join(keys, "l_orderkey").groupBy("k").agg(
         F.sum("q").alias("TotalQuantity"), F.min("qmin").alias("MinQuantity"),
         F.max("qmax").alias("MaxQuantity"), F.sum("n").alias("lines"),
         F.sum("r").alias("returns"), F.sum("rf").alias("NegativeQuantityCount"),

@@ -39,7 +39,7 @@ def kmeans_sweep(df: DataFrame, ks=range(2, 11), starts: int = 10, max_iter: int
     evaluator = ClusteringEvaluator(
         featuresCol=FEATURES, predictionCol="cluster", distanceMeasure="squaredEuclidean")
     rows = []
-    with persisted(df):
+    with persisted(df) as df:
         for k in ks:
             model = fit_kmeans(df, k, starts, max_iter=max_iter)
             rows.append((k, float(model.summary.trainingCost), evaluator.evaluate(model.transform(df))))
@@ -48,7 +48,7 @@ def kmeans_sweep(df: DataFrame, ks=range(2, 11), starts: int = 10, max_iter: int
 
 
 def assign_clusters(df: DataFrame, k: int = 4, starts: int = 10) -> DataFrame:
-    with persisted(df):
+    with persisted(df) as df:
         model = fit_kmeans(df, k, starts)
     return model.transform(df)
 

@@ -33,11 +33,12 @@ def profile_shape(df: DataFrame) -> DataFrame:
 
 
 def profile_dtypes(df: DataFrame) -> DataFrame:
-    """Number of columns per type; from the schema alone, no data is read."""
-    counts: dict[str, int] = {}
-    for _, kind in df.dtypes:
-        counts[kind] = counts.get(kind, 0) + 1
-    return df.sparkSession.createDataFrame(sorted(counts.items()), "dtype string, n_columns int")
+    """Number of columns and of filled cells per type."""
+    kinds = dict(df.dtypes)
+    filled = unpivot_aggregates(df, {
+        c: {"dtype": literal(kinds[c]), "filled": f"count({name(c)})"} for c in df.columns})
+    return filled.groupBy("dtype").agg(
+        F.count(F.lit(1)).alias("n_columns"), F.sum("filled").alias("n_filled"))
 
 
 def missing_report(df: DataFrame, order_by: str = "missing") -> DataFrame:

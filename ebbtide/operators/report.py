@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.schema import HIGH_RISK_LEVELS
+from ebbtide.operators.prefix import ROWS_PER_CELL, running_totals
+from ebbtide.schema import HIGH_RISK_LEVELS, ID
 
 
 def batch_summary(scored: DataFrame) -> DataFrame:
@@ -26,3 +27,13 @@ def score_counts(scored: DataFrame) -> DataFrame:
     return scored.agg(
         F.count(F.lit(1)).alias("total"), F.count_if("success").alias("success_count"),
         F.count_if(~F.col("success")).alias("error_count"))
+
+
+def with_index(scored: DataFrame, order_col: str = ID, rows_per_cell: int = ROWS_PER_CELL) -> DataFrame:
+    """0-based position in the order of a unique numeric column, on request only.
+
+    Numbered cell by cell, so no task holds the whole batch.
+    """
+    ordered = scored.withColumns({"__falling": -F.col(order_col).cast("double"), "__one": F.lit(1)})
+    counted = running_totals(ordered, "__falling", ["__one"], rows_per_cell)
+    return counted.select((F.col("cum___one") - 1).alias("index"), *scored.columns)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ebbtide.operators.assemble import FEATURES
 from ebbtide.operators.evaluate import binary_scores, hard_vote, roc_auc
 from ebbtide.schema import LABEL
-from ebbtide.sources.staging import shared_dir
+from ebbtide.sources.staging import shared_dir, spread
 
 SEED = 42
 
@@ -72,6 +72,7 @@ def candidates(rows: int, s: Settings = Settings()) -> dict[str, Estimator]:
 def persisted(df: DataFrame):
     """Keep a frame over several fits; partitions that are lost get recomputed."""
     shared_dir(df.sparkSession)  # boosting checkpoints its residuals there
+    df = spread(df)
     df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield df
@@ -135,7 +136,7 @@ def compare_models(
     score of 0 never does.
     """
     rows, models, best, best_score = [], {}, None, 0.0
-    with persisted(train), persisted(test):
+    with persisted(train) as train, persisted(test) as test:
         for name, estimator in estimators.items():
             mean, std = _mean_std(cross_validate(estimator, train, k))
             model = estimator.fit(train)
@@ -180,7 +181,7 @@ def grid_search(
         params = {estimator.getParam(p): v for p, v in setting.items()}
         return _mean_std(cross_validate(estimator, train, k, params))
 
-    with persisted(train):
+    with persisted(train) as train:
         with ThreadPoolExecutor(parallelism) as pool:
             scores = list(pool.map(run, settings))
         best = max(range(len(settings)), key=lambda i: scores[i][0])
@@ -211,7 +212,7 @@ class Voting(NamedTuple):
 def fit_voting(train: DataFrame, members: list[Estimator], k: int = 5, fold_col: str = "fold") -> Voting:
     """Fit a hard-vote ensemble with its cross-validated F1."""
     scores = []
-    with persisted(train):
+    with persisted(train) as train:
         for i in range(k):
             seen = train.filter(F.col(fold_col) != i)
             held = vote_with([m.fit(seen) for m in members], train.filter(F.col(fold_col) == i))
@@ -249,7 +250,7 @@ def learning_curve(
     ``order_col`` is a uniform number in [0, 1); a sample is a filter on it.
     """
     rows = []
-    with persisted(train), persisted(validation):
+    with persisted(train) as train, persisted(validation) as validation:
         for fraction in fractions:
             part = train if fraction >= 1 else train.filter(F.col(order_col) < fraction)
             model = estimator.fit(part)

@@ -34,14 +34,14 @@ from ebbtide.schema import (
 )
 from ebbtide.sources import models as model_store
 from ebbtide.sources import tables
-from ebbtide.sources.staging import new_path, stage, stage_once
+from ebbtide.sources.staging import new_path, spread, stage, stage_once
 from ebbtide.streaming.scoring import score_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 # Small learners: a query shows the whole path in seconds; the library defaults are the
 # full sizes.
-SMALL = train.Settings(trees=10, forest_depth=5, iterations=5, max_iter=50)
+SMALL = train.Settings(trees=10, forest_depth=5, iterations=5, max_iter=20)
 FOLDS = 2
 
 ALIGN_NAMES = ["Recency", "Frequency", "NotInTheTable", "MonetaryTotal", "Gender_M"]
@@ -78,13 +78,13 @@ def prepared(spark: SparkSession, sf_dir: str) -> workflow.Prepared:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _prepared:
         built = workflow.prepare(customer_table(spark, sf_dir), folds=FOLDS)
-        _prepared[key] = built._replace(table=stage(built.table, "features"))
+        _prepared[key] = built._replace(table=stage(spread(built.table), "features"))
     return _prepared[key]
 
 
 def _explored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     features, names = workflow.explore_features(customer_table(spark, sf_dir))
-    return stage(assemble(features, names, keep=[ID, LABEL]), "explored"), names
+    return stage(spread(assemble(features, names, keep=[ID, LABEL])), "explored"), names
 
 
 def _classifier(spark: SparkSession, sf_dir: str) -> model_store.ModelSet:
@@ -387,6 +387,10 @@ def _banded(spark, d):
         risk.risk_level("p").alias("churn_risk_level"))
 
 
+def indexed_batch(spark, d):
+    return report.with_index(_banded(spark, d)).select("index", ID, "churn_risk_level")
+
+
 def risk_profiles(spark, d):
     scored = score_batch(profile_rows(spark), _classifier(spark, d))
     return scored.filter("success").select(
@@ -494,6 +498,7 @@ QUERIES: dict[str, Query] = {
     "predict_monetary": predict_monetary,
     "batch_summary": lambda s, d: _rounded(report.batch_summary(_banded(s, d))),
     "risk_distribution": lambda s, d: report.risk_distribution(_banded(s, d)),
+    "indexed_batch": indexed_batch,
     "risk_profiles": risk_profiles,
     "stream_scoring": stream_scoring,
     "stream_counts": stream_counts,

@@ -263,10 +263,10 @@ LEVEL = _risk(RISK_LEVELS, "'Unknown'")
 
 def _dtypes() -> str:
     # The declared types of the fixture text, under the names Spark gives them.
-    types = " UNION ALL ".join(f"SELECT typeof({c}) AS t FROM (SELECT * FROM customers LIMIT 1)" for c in COLUMNS)
+    types = " UNION ALL ".join(f"SELECT max(typeof({c})) AS t, count({c}) AS n FROM customers" for c in COLUMNS)
     return _customers(
         "SELECT CASE t WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' ELSE lower(t) END AS dtype, "
-        f"count(*)::INTEGER AS n_columns FROM ({types}) GROUP BY t")
+        f"count(*) AS n_columns, sum(n)::BIGINT AS n_filled FROM ({types}) GROUP BY t")
 
 
 ORACLES: dict[str, str] = {
@@ -402,6 +402,9 @@ ORACLES: dict[str, str] = {
     "batch_summary": _customers(
         "SELECT round(avg(y_pred), 6) AS churn_rate, round(avg(y_score), 6) AS avg_probability, "
         f"count(*) FILTER ({LEVEL} IN ('High', 'Critical')) AS high_risk FROM given", GIVEN),
+    "indexed_batch": _customers(
+        f"SELECT row_number() OVER (ORDER BY CustomerID) - 1 AS index, CustomerID, {LEVEL} "
+        "AS churn_risk_level FROM given", GIVEN),
     "risk_distribution": _customers(
         f"SELECT {LEVEL} AS churn_risk_level, count(*) AS n FROM given GROUP BY 1", GIVEN),
 }

@@ -24,7 +24,7 @@ from ebbtide.schema import (
     NOMINAL_COLUMNS_DROP_FIRST, numeric_fields, string_fields,
 )
 from ebbtide.sources.models import ModelSet, save_models
-from ebbtide.sources.staging import stage
+from ebbtide.sources.staging import spread, stage
 from ebbtide.sources.tables import export_predictions, read_customers, write_split
 
 
@@ -83,7 +83,8 @@ def prepare_and_train(
     settings: Settings = Settings(), folds: int = 5,
 ) -> Trained:
     """Customer file in, split table and model set out."""
-    prepared = prepare(stage(read_customers(spark, source, format), "customers"), folds=folds)
+    raw = stage(spread(read_customers(spark, source, format)), "customers")
+    prepared = prepare(raw, folds=folds)
     write_split(prepared.table, f"{output}/train_test")
     stored = prepared._replace(table=spark.read.parquet(f"{output}/train_test"))
     trained = train(stored, settings, folds)

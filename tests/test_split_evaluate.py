@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.operators import evaluate, split
 from ebbtide.operators.neighbours import nearest_neighbours
+from ebbtide.operators.report import with_index
 from ebbtide.operators.smote import smote
 
 
@@ -96,6 +97,12 @@ def test_cells_give_the_same_curves(spark):
     assert ap.first()[0] == pytest.approx(evaluate.average_precision(frame, rows_per_cell=7).first()[0])
 
 
+def test_index_is_the_same_in_one_cell_and_in_many(labelled):
+    one = {tuple(r)[:2] for r in with_index(labelled).collect()}
+    assert one == {tuple(r)[:2] for r in with_index(labelled, rows_per_cell=50).collect()}
+    assert one == {(i, i) for i in range(1003)}
+
+
 def test_curve_ends_and_dropped_points(spark):
     frame = scores(spark, [(1, 0.9), (1, 0.8), (1, 0.7), (0, 0.6), (0, 0.5)])
     points = [tuple(r) for r in evaluate.roc_curve(frame).orderBy(F.desc("threshold")).collect()]
