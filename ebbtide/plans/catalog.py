@@ -304,13 +304,13 @@ def pca_variance(spark, d):
 
 def kmeans_sweep(spark, d):
     vectors, _ = _explored(spark, d)
-    result = cluster.kmeans_sweep(vectors, starts=1, max_iter=30)
+    result = cluster.kmeans_sweep(vectors, starts=1, max_iter=10)
     return result.table.withColumn("best", F.col("k") == result.best_k)
 
 
 def cluster_sizes(spark, d):
     vectors, _ = _explored(spark, d)
-    return cluster.cluster_sizes(cluster.assign_clusters(vectors, 4, starts=2))
+    return cluster.cluster_sizes(cluster.assign_clusters(vectors, 4, starts=1))
 
 
 def model_comparison(spark, d):

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ebbtide.functions.text import name, replacing
 from ebbtide.schema import RAW_SCHEMA
 
 
@@ -18,24 +19,36 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def read_customers(
-    spark: SparkSession, path: str, format: str = "csv", schema: T.StructType | None = RAW_SCHEMA
+    spark: SparkSession, path: str, format: str = "csv",
+    schema: T.StructType | str | None = RAW_SCHEMA,
 ) -> DataFrame:
-    """Customer table from CSV (with a header) or Parquet.
+    """Customer table from CSV (with a header) or a self-describing format such as Parquet.
 
-    ``schema=None`` infers the CSV types, which costs a second pass over the file.
+    CSV columns are matched to the schema by name, in any order; a column the schema does
+    not know is text.  ``schema=None`` infers the types, which costs a pass over the file.
     A value that does not parse becomes NULL, so a bad row fails alone at scoring.
     """
-    reader = spark.read
-    if schema is not None:
-        reader = reader.schema(schema)
-    if format == "csv":
-        options = {"header": True, "enforceSchema": False, "mode": "PERMISSIVE"}
-        if schema is None:
-            options["inferSchema"] = True
-        frame = reader.options(**options).csv(path)
-    else:
-        frame = reader.format(format).load(path)
-    return nan_to_null(frame)
+    if format != "csv":
+        return nan_to_null(spark.read.format(format).load(path))
+    if schema is None:
+        return nan_to_null(spark.read.csv(path, header=True, inferSchema=True))
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    known = {f.name: f.dataType for f in schema.fields}
+    header = spark.read.csv(path, header=True).columns  # reads the first line
+    whole = {n for n in header if isinstance(known.get(n), T.IntegralType)}
+    read_as = T.StructType([
+        T.StructField(n, T.StringType() if n in whole else known.get(n, T.StringType())) for n in header])
+    frame = spark.read.schema(read_as).csv(path, header=True)
+    return nan_to_null(frame.selectExpr(*replacing(header, {n: _whole_number(n, known[n]) for n in whole})))
+
+
+def _whole_number(column: str, kind: T.DataType) -> str:
+    """Whole numbers are often written as 35.0 where the column has gaps."""
+    c = name(column)
+    decimal = f"try_cast({c} AS DOUBLE)"
+    rounded = f"CASE WHEN {decimal} = floor({decimal}) THEN try_cast({decimal} AS BIGINT) END"
+    return f"try_cast(coalesce(try_cast({c} AS BIGINT), {rounded}) AS {kind.simpleString()})"
 
 
 def write_processed(df: DataFrame, path: str, format: str = "parquet") -> None:

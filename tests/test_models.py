@@ -5,6 +5,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from ebbtide.operators import cluster, pca, train
+from ebbtide.operators.assemble import assemble
 from ebbtide.operators.profiles import risk_profiles
 from ebbtide.operators.score import score_batch
 from ebbtide.plans import catalog, workflow
@@ -179,6 +180,28 @@ def test_unparsable_and_nan_values_become_null(spark):
     assert {r.CustomerID: r.x for r in rows.collect()} == {1: None, 2: None, 3: 4.5}
 
 
+def test_csv_columns_match_by_name_and_whole_numbers_may_carry_a_point(spark):
+    path = new_path(spark, "shuffled")
+    rows = [("x", "35.0", "1", "9007199254740993"), ("y", "", "0", "2"), ("z", "1.5", "1.0", "oops")]
+    spark.createDataFrame(rows, "Note string, Age string, Churn string, CustomerID string").write.option(
+        "header", True).csv(path)
+    out = tables.read_customers(spark, path)
+    assert dict(out.dtypes) == {"Note": "string", "Age": "bigint", "Churn": "int", "CustomerID": "bigint"}
+    assert {r.Note: tuple(r)[1:] for r in out.collect()} == {
+        "x": (35, 1, 9007199254740993), "y": (None, 0, 2), "z": (None, 1, None)}
+
+
+def test_level_names_with_dots_and_quotes(spark):
+    rows = spark.createDataFrame(
+        [(i, float(i % 5), ["St. Lucia", "Côte d'Ivoire", "a`b"][i % 3], int(i % 2)) for i in range(40)],
+        "CustomerID long, Recency double, Country string, Churn int")
+    features = FeatureBuilder().fit(rows)
+    assert "Country_St. Lucia" in features.feature_names
+    vectors = assemble(features.transform(rows), features.feature_names, keep=[ID, LABEL])
+    model = train.logistic_regression(40, TINY).fit(vectors)
+    assert score_batch(rows, store.ModelSet(features, model)).filter("success").count() == 40
+
+
 def test_feature_options(customers):
     part = FeatureBuilder(scaling="numeric", exclude=["ChurnRiskCategory", "Country"]).fit(customers)
     names = part.feature_names
