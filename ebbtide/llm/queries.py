@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ebbtide.llm.common import table
+from ebbtide.llm.decontaminate import contamination
+from ebbtide.llm.host_rules import apply_rules
+from ebbtide.llm.simhash import near_duplicates
 from ebbtide.llm.token_counts import count_tokens
+from ebbtide.llm.token_files import token_file_digests
 
 
 def tokenizer_path() -> str:
@@ -16,11 +20,32 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file_digests(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest"]
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(*columns)
+
+
+def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply_rules(table(spark, sf_dir, "documents")).drop("host")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_files": op2_token_files,
+    "op6_simhash": op6_simhash,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_host_rules": op8_host_rules,
     "op9_token_counts": op9_token_counts,
 }
 ORACLES: dict[str, str] = {}

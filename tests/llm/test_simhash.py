@@ -1,0 +1,99 @@
+"""Fingerprints and components against plain loops over all pairs."""
+
+import random
+import re
+
+import numpy as np
+import xxhash
+from pyspark.sql import functions as F
+
+from ebbtide.llm import simhash
+from ebbtide.llm.components import components
+from ebbtide.llm.simhash import close_links, fingerprint, keep_one, near_duplicates
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def plain(text):
+    text = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = WORD.findall(text)
+    if not words:
+        return 0
+    grams = [" ".join(words[i:i + 4]) for i in range(max(len(words) - 3, 1))]
+    h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
+
+
+def roots(items, most=4):
+    """items: (doc_id, fingerprint); least doc_id reachable of each row, by all pairs."""
+    fps = sorted({f for _, f in items})
+    up = {f: f for f in fps}
+
+    def find(f):
+        while up[f] != f:
+            f = up[f]
+        return f
+
+    for i, a in enumerate(fps):
+        for b in fps[:i]:
+            if bin(a ^ b).count("1") <= most:
+                up[find(a)] = find(b)
+    least = {}
+    for d, f in items:
+        if d is not None:
+            least[find(f)] = min(d, least.get(find(f), d))
+    return [least.get(find(f)) for _, f in items]
+
+
+def check(docs):
+    rows = [(r.doc_id, plain(r.text)) for r in docs.select("doc_id", "text").collect()]
+    want = sorted(map(str, ((d, format(f, "016x"), c) for (d, f), c in zip(rows, roots(rows)))))
+    got = near_duplicates(docs).collect()
+    assert sorted(str((r.doc_id, r.fingerprint, r.component_id)) for r in got) == want
+
+
+def test_fingerprint_of_odd_texts():
+    for t in ["", "  ", "One", "A b c", "a b c d", "É a b c \x1c d e f", "x " * 70000]:
+        assert fingerprint(t.encode()) == plain(t)
+
+
+def test_given_documents(spark, sf_dir):
+    check(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def test_edges(make_docs):
+    base = " ".join(f"w{i}" for i in range(200))
+    rows = [(9, base), (4, base + " tail"), (4, base), (None, base), (2, None), (7, ""), (8, "w1"), (None, "only here")]
+    check(make_docs(rows, extra=["fp", "root", "component_id"]))
+    assert near_duplicates(make_docs([])).count() == 0
+    kept = keep_one(make_docs(rows, extra=["component_id"]))
+    ids = [r.doc_id for r in kept.collect()]
+    assert 9 not in ids and ids.count(4) == 2 and 7 not in ids and 2 in ids and None in ids
+    assert kept.columns[-1] == "component_id"
+
+
+def test_split_cells_lose_no_link(spark, monkeypatch):
+    draw = random.Random(3)
+    values = []
+    for _ in range(30):
+        x = draw.getrandbits(64)
+        values += [x] + [x ^ sum(1 << b for b in draw.sample(range(64), draw.randint(1, 5))) for _ in range(15)]
+    signed = np.array(values, dtype=np.uint64).view(np.int64).tolist()
+    frame = spark.createDataFrame([(v,) for v in set(signed)], "fp long")
+    want = roots(list(zip(signed, values)))
+    for cell in (8192, 4):
+        monkeypatch.setattr(simhash, "CELL_ROWS", cell)
+        linked = frame.select(F.col("fp").alias("a"), F.col("fp").alias("b"))
+        found = {r.node: r.root for r in components(close_links(frame)).collect()}
+        assert linked.count() == len(set(signed))
+        classes, theirs = {}, {}
+        for v, w in zip(signed, want):
+            classes.setdefault(found.get(v, v), set()).add(v)
+            theirs.setdefault(w, set()).add(v)
+        assert sorted(map(sorted, classes.values())) == sorted(map(sorted, theirs.values()))
+
+
+def test_components_of_long_paths(spark):
+    edges = [(i, i + 1) for i in range(100)] + [(200, i) for i in range(201, 260)] + [(500, 500)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert {got[i] for i in range(101)} == {0} and {got[i] for i in range(200, 260)} == {200} and 500 not in got
