@@ -15,7 +15,7 @@ import numpy as np
 from ebbtide.llm.common import worker_store
 
 #: Pieces a worker keeps; beyond it the older half is forgotten.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 1_200_000
 #: Pieces longer than this are encoded but not kept.
 KEPT_CHARS = 48
 

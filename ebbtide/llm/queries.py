@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ebbtide.llm.block_dedup import remove_repeats
 from ebbtide.llm.bpe import encode_decode
 from ebbtide.llm.common import table
 from ebbtide.llm.decontaminate import contamination
@@ -46,6 +47,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_block_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op3_bpe": op3_bpe,
@@ -53,5 +58,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontaminate": op7_decontaminate,
     "op8_host_rules": op8_host_rules,
     "op9_token_counts": op9_token_counts,
+    "op10_block_dedup": op10_block_dedup,
 }
 ORACLES: dict[str, str] = {}
