@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ebbtide.llm import block_dedup, suffix_dedup
 from ebbtide.llm.bpe import encode_decode
 from ebbtide.llm.common import table
 from ebbtide.llm.decontaminate import contamination
 from ebbtide.llm.host_rules import apply_rules
+from ebbtide.llm.language import identify, learn
 from ebbtide.llm.simhash import near_duplicates
 from ebbtide.llm.token_counts import count_tokens
 from ebbtide.llm.token_files import token_file_digests
@@ -22,6 +24,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = learn(docs, "crc32(cast(doc_id AS string)) % 3 <> 1")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    return identify(docs, model).withColumn("held_out", held_out)
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -56,6 +65,7 @@ def op10_block_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": op1_language,
     "op2_token_files": op2_token_files,
     "op3_bpe": op3_bpe,
     "op4_suffix_dedup": op4_suffix_dedup,
