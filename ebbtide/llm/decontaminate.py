@@ -227,4 +227,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs``, all columns, that contain no window of the benchmark."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    return _hits(docs, benchmark, window, block_bytes, row).where(F.size("_items") == 0).select("_row.*")
+    return _hits(docs, benchmark, window, block_bytes, row).where(F.size("_items") == 0).select(
+        *[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

@@ -13,6 +13,7 @@ from ebbtide.llm.common import table
 from ebbtide.llm.decontaminate import contamination
 from ebbtide.llm.host_rules import apply_rules
 from ebbtide.llm.language import identify, learn
+from ebbtide.llm.quality_model import score_quality
 from ebbtide.llm.simhash import near_duplicates
 from ebbtide.llm.token_counts import count_tokens
 from ebbtide.llm.token_files import token_file_digests
@@ -43,6 +44,13 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
+                           "crc32(cast(doc_id AS string)) % 4 <> 2")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -69,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op3_bpe": op3_bpe,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
     "op7_decontaminate": op7_decontaminate,
     "op8_host_rules": op8_host_rules,
