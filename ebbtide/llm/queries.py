@@ -13,6 +13,7 @@ from ebbtide.llm.common import table
 from ebbtide.llm.decontaminate import contamination
 from ebbtide.llm.host_rules import apply_rules
 from ebbtide.llm.language import identify, learn
+from ebbtide.llm.oracles import ORACLES  # noqa: F401  (the contract reads both from here)
 from ebbtide.llm.quality_model import score_quality
 from ebbtide.llm.simhash import near_duplicates
 from ebbtide.llm.token_counts import count_tokens
@@ -56,12 +57,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest"]
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(*columns)
 
 
 def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return apply_rules(table(spark, sf_dir, "documents")).drop("host")
+    return apply_rules(table(spark, sf_dir, "documents")).drop("host", "host_rate")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,4 +85,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_block_dedup": op10_block_dedup,
 }
-ORACLES: dict[str, str] = {}
