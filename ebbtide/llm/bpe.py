@@ -199,14 +199,14 @@ def _sort_out(docs: DataFrame, tokenizer: str, shared: Filter) -> DataFrame:
     Rows of kind 0 are results, of kind 1 documents with shared chunks (``keys``; ``home`` is
     the least key, ``salt`` a running number), of kind 2 the texts of the shared chunks.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(shared)
+    sent = docs.sparkSession.sparkContext.broadcast(shared.bits)
 
     def work(batch):
         encoder, names = worker_encoder(tokenizer), batch.column(0).to_pylist()
         texts = bytes_of(batch.column(1))
         cut = [chunks_of(t, ends) for t, ends in zip(texts, chunk_ends(texts))]
         keys = [[digest(c) for c in chunks] for chunks in cut]
-        flags = iter(sent.value.flags([k for ks in keys for k in ks]).tolist())
+        flags = iter(Filter(sent.value).flags([k for ks in keys for k in ks]).tolist())
         hits = [[k for k in ks if next(flags)] for ks in keys]
         alone = [k for k, h in enumerate(hits) if not h]
         rest = [k for k, h in enumerate(hits) if h]

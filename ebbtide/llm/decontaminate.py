@@ -201,8 +201,8 @@ def _hits(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int,
                        F.array().cast("array<string>").alias("_items"), F.lit(0).cast("long").alias("_longest"))
     context = docs.sparkSession.sparkContext
     for block in _blocks(benchmark, block_bytes):
-        sent = context.broadcast(prepare([(r.item_id, r.text) for r in block.collect()], window))
-        rows = rows.mapInArrow(lambda batches, sent=sent: _add_hits(batches, sent.value), rows.schema)
+        sent = context.broadcast(vars(prepare([(r.item_id, r.text) for r in block.collect()], window)))
+        rows = rows.mapInArrow(lambda batches, sent=sent: _add_hits(batches, Queries(**sent.value)), rows.schema)
     return rows
 
 

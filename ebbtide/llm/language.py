@@ -200,10 +200,13 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     ``und`` with score 0 for a text without a letter (or null), or if nothing was learned.
     Repeated rows and null ids are kept; empty tables give empty ones.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
+    letters = model.alphabet.letters if model.alphabet else np.zeros(0, np.int64)
+    # Plain values, bounded by the sample: broadcasts are unpickled without the package.
+    sent = docs.sparkSession.sparkContext.broadcast((model.languages, letters, model.tables, model.sizes))
 
     def work(batch):
-        names, scores = predict(texts_of(batch.column(1)), sent.value)
+        languages, letters, tables, sizes = sent.value
+        names, scores = predict(texts_of(batch.column(1)), Model(languages, Alphabet(letters), tables, sizes))
         return [batch.column(0), names, scores]
 
     return map_rows(narrow(docs, "doc_id", "text"), f"doc_id {id_type(docs)}, lang_pred string, score double", work)
