@@ -5,6 +5,7 @@ Manhattan distance of two vectors is at most the number of differing bits, so cl
 fingerprints are close vectors.  The segments form three groups; if the whole distance is at
 most four, it is at most one in some group.  So each vector is placed in its grid cell of each
 group and probes the cells one step up, cells are joined, and the bits are compared exactly.
+For very many fingerprints two groups and cells up to two steps away are used instead.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ MAX_BITS = 4
 SEED = 42
 #: Rows of one cell that one task compares; a larger cell is split into blocks.
 CELL_ROWS = 8192
+#: Distinct fingerprints beyond which a grid with fewer, larger groups is cheaper.
+FINE_GRID_FROM = 30_000_000
 _PAIRS_AT_ONCE = 1 << 20
 _LOW = np.uint64(0x5555555555555555)
 
@@ -68,18 +71,32 @@ def group_masks(groups: int) -> list[np.uint64]:
     return [np.uint64(((1 << 2 * (b - a)) - 1) << 2 * a) for a, b in zip(edges, edges[1:])]
 
 
-def _cells(batch: pa.RecordBatch, groups: int) -> pa.RecordBatch:
-    """Rows (grp, cell, kind, fp): kind 0 in its own cell, kind 1 in each cell one step up."""
+def _probes(segments: list[int], radius: int) -> list[list[tuple[int, int]]]:
+    """Steps ``(segment, change)`` to the cells within ``radius`` whose first change is upwards.
+
+    Of two cells each other's neighbours, one reaches the other that way.
+    """
+    out = [[(s, 1)] for s in segments] if radius else []
+    if radius >= 2:
+        out += [[(s, 2)] for s in segments]
+        out += [[(s, 1), (t, change)] for s in segments for t in segments if s < t for change in (1, -1)]
+    return out
+
+
+def _cells(batch: pa.RecordBatch, groups: int, radius: int) -> list[np.ndarray]:
+    """Columns grp, cell, kind, fp: kind 0 in its own cell, kind 1 in the cells it probes."""
     fp = batch.column(0).to_numpy().view(np.uint64)
     counts, out = segment_counts(fp), []
     for g, mask in enumerate(group_masks(groups)):
         own = counts & mask
         out.append((g, own, 0, fp))
-        for s in range(32):
-            unit = np.uint64(1 << 2 * s)
-            if unit & mask:
-                below = ((own >> np.uint64(2 * s)) & np.uint64(3)) < 2
-                out.append((g, own[below] + unit, 1, fp[below]))
+        for steps in _probes([s for s in range(32) if int(mask) >> 2 * s & 1], radius):
+            there, cell = np.ones(len(own), bool), own
+            for s, change in steps:
+                level = ((own >> np.uint64(2 * s)) & np.uint64(3)).astype(np.int64) + change
+                there &= (level >= 0) & (level <= 2)
+                cell = cell + np.uint64(change << 2 * s) if change > 0 else cell - np.uint64(-change << 2 * s)
+            out.append((g, cell[there], 1, fp[there]))
     size = [len(o[1]) for o in out]
     return [np.repeat([o[0] for o in out], size).astype(np.int32),
             np.concatenate([o[1] for o in out]).view(np.int64),
@@ -164,9 +181,11 @@ def close_links(fps: DataFrame, most: int = MAX_BITS) -> DataFrame:
     as many edges as members.  A cell of more than ``CELL_ROWS`` rows is cut into blocks and
     each pair of blocks is one unit of work.
     """
-    groups = (most + 2) // 2  # some group has a distance of one or less
+    # With most // 2 + 1 groups some group has a distance of one or less.  With fewer and larger
+    # groups that is two or less: more probes each, but far fewer fingerprints share a cell.
+    groups = most // 2 + 1 if fps.count() <= FINE_GRID_FROM else max(most // 3 + 1, 1)
     placed = stage(map_rows(fps.select("fp"), "grp int, cell long, kind int, fp long",
-                            lambda batch: _cells(batch, groups)), "cells")
+                            lambda batch: _cells(batch, groups, most // groups)), "cells")
     large = (placed.groupBy("grp", "cell").agg(F.count("*").alias("n")).where(F.col("n") > CELL_ROWS)
              .select("grp", "cell", F.ceil(F.col("n") / CELL_ROWS).cast("int").alias("blocks")))
     split = placed.join(large, ["grp", "cell"], "left")

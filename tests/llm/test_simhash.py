@@ -81,8 +81,9 @@ def test_split_cells_lose_no_link(spark, monkeypatch):
     signed = np.array(values, dtype=np.uint64).view(np.int64).tolist()
     frame = spark.createDataFrame([(v,) for v in set(signed)], "fp long")
     want = roots(list(zip(signed, values)))
-    for cell in (8192, 4):
+    for cell, fine in ((8192, 10**9), (4, 10**9), (8192, 0), (4, 0)):
         monkeypatch.setattr(simhash, "CELL_ROWS", cell)
+        monkeypatch.setattr(simhash, "FINE_GRID_FROM", fine)
         linked = frame.select(F.col("fp").alias("a"), F.col("fp").alias("b"))
         found = {r.node: r.root for r in components(close_links(frame)).collect()}
         assert linked.count() == len(set(signed))
