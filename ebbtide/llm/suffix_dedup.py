@@ -27,30 +27,53 @@ from ebbtide.llm.common import bytes_of, id_type, map_rows
 
 LENGTH, ANCHOR = 200, 48
 #: Text bytes of a slice (fewer than 2**24), of a hash range, and of one suffix array.
-SLICE_BYTES, RANGE_BYTES, ARRAY_BYTES = 4_000_000, 8_000_000, 1_500_000
+SLICE_BYTES, RANGE_BYTES, ARRAY_BYTES = 4_000_000, 4_000_000, 400_000
+MOST_TASKS = 8192
+#: Runs beyond which an anchor is common, and its strings are dealt out further.
+COMMON = 1024
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _PLACE_BITS = np.uint64(64 - ANCHOR_BITS)
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64))
+_BLOCK = 1 << 15
 
 
 # Difference-cover suffix sorting ------------------------------------------------------------
 
-def dense(columns: list[np.ndarray]) -> np.ndarray:
-    """Names 1, 2, ... of rows in the order of their values, equal rows equal."""
+def packed(columns: list[np.ndarray]) -> np.ndarray:
+    """One non-negative number per row, in the order of the rows' values."""
     key = columns[0].astype(np.int64)
     top = int(key.max(initial=0)) + 1
     for column in columns[1:]:
         size = int(column.max(initial=0)) + 1
         if top * size >= 1 << 62:
-            key = dense([key])
+            key = dense(key)
             top = int(key.max(initial=0)) + 1
         key, top = key * size + column, top * size
-    order = np.argsort(key, kind="stable")
+    return key
+
+
+def dense(key: np.ndarray) -> np.ndarray:
+    """Names 1, 2, ... of numbers in their order, equal numbers equal."""
+    if not len(key):
+        return np.zeros(0, np.int64)
+    order = np.argsort(key)
     ranked = key[order]
     names = np.empty(len(key), np.int64)
-    names[order] = np.cumsum(np.r_[True, ranked[1:] != ranked[:-1]]) if len(key) else 0
+    names[order] = np.cumsum(np.r_[True, ranked[1:] != ranked[:-1]])
     return names
 
 
+def _counts_below(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per left value how many left and how many right values are less; per right value how many left ones."""
+    by_left, by_right = np.argsort(left), np.argsort(right)
+    l, r = left[by_left], right[by_right]  # sorted queries keep the binary searches close together
+    own, across, back = np.empty(len(l), np.int64), np.empty(len(l), np.int64), np.empty(len(r), np.int64)
+    own[by_left] = np.searchsorted(l, l)
+    across[by_left] = np.searchsorted(r, l)
+    back[by_right] = np.searchsorted(l, r)
+    return own, across, back
+
+
 def suffix_ranks(symbols: np.ndarray, depth: int) -> np.ndarray:
     """Ranks of all suffixes that respect the order of their first ``depth`` symbols.
 
@@ -59,39 +82,41 @@ def suffix_ranks(symbols: np.ndarray, depth: int) -> np.ndarray:
     n = len(symbols)
     s = np.concatenate([symbols.astype(np.int64), np.zeros(3, np.int64)])
     if depth <= 1 or n < 3:
-        return dense([s[k:k + n] for k in range(3)])
+        return dense(packed([s[k:k + n] for k in range(3)]))
     one, two, zero = np.arange(1, n, 3), np.arange(2, n, 3), np.arange(0, n, 3)
     sample = np.concatenate([one, two])
-    names = dense([s[sample], s[sample + 1], s[sample + 2]])
+    names = dense(packed([s[sample], s[sample + 1], s[sample + 2]]))
     if depth > 3 and len(names) and int(names.max()) < len(names):
         # A gap between the two halves ends the first one.
         inner = suffix_ranks(np.concatenate([names[:len(one)], [0], names[len(one):]]), -(-depth // 3))
         names = np.concatenate([inner[:len(one)], inner[len(one) + 1:]])
     rank = np.zeros(n + 3, np.int64)
     rank[sample] = names
-    top = int(names.max(initial=0)) + 1
+    number = np.bincount(names, minlength=1)
+    below = np.cumsum(number) - number
     # The remaining suffixes are compared with those at positions 1 mod 3 by a symbol and a
     # rank, with those at 2 mod 3 by two symbols and a rank.
-    by_one = lambda at: s[at] * top + rank[at + 1]
-    pairs = dense([s[np.concatenate([zero, two])], s[np.concatenate([zero, two]) + 1]])
-    zero_two, two_two = pairs[:len(zero)] * top + rank[zero + 2], pairs[len(zero):] * top + rank[two + 2]
-    zero_one, one_one = by_one(zero), by_one(one)
-    zero_sorted, zero_two_sorted, names_sorted = np.sort(zero_one), np.sort(zero_two), np.sort(names)
+    at = np.concatenate([zero, one])
+    key = packed([s[at], rank[at + 1]])
+    own, less_one, one_zero = _counts_below(key[:len(zero)], key[len(zero):])
+    at = np.concatenate([zero, two])
+    key = packed([s[at], s[at + 1], rank[at + 2]])
+    _, less_two, two_zero = _counts_below(key[:len(zero)], key[len(zero):])
     out = np.empty(n, np.int64)
-    out[zero] = (np.searchsorted(zero_sorted, zero_one) + np.searchsorted(np.sort(one_one), zero_one)
-                 + np.searchsorted(np.sort(two_two), zero_two))
-    out[one] = np.searchsorted(names_sorted, rank[one]) + np.searchsorted(zero_sorted, one_one)
-    out[two] = np.searchsorted(names_sorted, rank[two]) + np.searchsorted(zero_two_sorted, two_two)
+    out[zero] = own + less_one + less_two
+    out[one] = below[rank[one]] + one_zero
+    out[two] = below[rank[two]] + two_zero
     return out + 1
 
 
 def equal_neighbours(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     """Whether each suffix in ``order`` (but the first) has the first ``length`` bytes of the one before."""
+    # Eight bytes from each place as one number; the last comparison overlaps the one before.
+    wide = np.lib.stride_tricks.sliding_window_view(text, 8)
+    words = np.ascontiguousarray(wide).view(np.uint64).ravel()
     same = np.arange(1, len(order))
-    for a in range(0, length, 8):
-        step = np.arange(a, min(a + 8, length))
-        left, right = text[order[same - 1][:, None] + step], text[order[same][:, None] + step]
-        same = same[(left == right).all(axis=1)]
+    for step in [*range(0, length - 8, 8), length - 8]:
+        same = same[words[order[same - 1] + step] == words[order[same] + step]]
     out = np.zeros(max(len(order) - 1, 0), bool)
     out[same - 1] = True
     return out
@@ -111,7 +136,7 @@ def repeated_starts(pieces: list[bytes], windows: list[int], copies: list[int],
     counts = np.array(windows)
     owner = np.repeat(np.arange(len(pieces)), counts)
     start = base[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    order = np.argsort(ranks[start], kind="stable")
+    order = np.argsort(ranks[start])
     same = equal_neighbours(joined, start[order], length)
     first = np.flatnonzero(np.r_[True, ~same])
     weight = np.add.reduceat(np.array(copies)[owner[order]], first)
@@ -135,7 +160,7 @@ def _least_of(values: np.ndarray, width: int) -> np.ndarray:
 
 def _substring_hashes(data: np.ndarray, width: int) -> np.ndarray:
     """Hash of the ``width`` bytes from each place."""
-    h, reach, factor = mix(data.astype(np.uint64) + np.uint64(1)), 1, int(_BASE)
+    h, reach, factor = _BYTES[data], 1, int(_BASE)
     parts, at = None, 0
     while True:
         if width & reach:  # the binary digits of the width, one after the other
@@ -144,28 +169,45 @@ def _substring_hashes(data: np.ndarray, width: int) -> np.ndarray:
                 parts = here
             else:
                 n = min(len(parts), len(here))
-                parts = parts[:n] * np.uint64(factor | 1) + here[:n]
+                parts = parts[:n] * np.uint64(factor | 1)
+                parts += here[:n]
             at += reach
         if reach * 2 > width:
             return mix(parts)
-        h = h[:-reach] * np.uint64(factor) + h[reach:]
+        left = h[:-reach] * np.uint64(factor)
+        left += h[reach:]
+        h = left
         factor = (factor * factor + 0x632BE5AB) & 0xFFFFFFFFFFFFFFFF | 1
         reach *= 2
 
 
-def anchor_runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _anchors(data: np.ndarray) -> np.ndarray:
+    """For each string of the joined texts its anchor's hash, then the anchor's place.
+
+    The places are worked on block by block, so that the arrays stay in the processor's cache.
+    """
+    out = np.empty(len(data) - LENGTH + 1, np.uint64)
+    for a in range(0, len(out), _BLOCK):
+        hashes = _substring_hashes(data[a:a + _BLOCK + LENGTH - 1], ANCHOR)
+        hashes >>= _PLACE_BITS
+        hashes <<= _PLACE_BITS
+        hashes |= np.arange(a, a + len(hashes), dtype=np.uint64)
+        least = _least_of(hashes, LENGTH - ANCHOR + 1)
+        out[a:a + len(least)] = least
+    return out
+
+
+def anchor_runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of neighbouring 200-byte strings with one anchor, over the joined texts.
 
-    Returns the anchor hash, the place of the first string and the number of strings of each
-    run.  The anchor is the leftmost 48 bytes of least hash, so it follows from the content.
+    Returns the anchor hash, the place of the first string, the number of strings and the place
+    of the anchor of each run.  The anchor is the leftmost 48 bytes of least hash, so it follows from the content.
     """
-    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    none = np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
     joined = np.frombuffer(b"".join(texts), np.uint8)
     if len(joined) < LENGTH:
         return none
-    hashes = _substring_hashes(joined, ANCHOR)
-    keyed = hashes >> _PLACE_BITS << _PLACE_BITS | np.arange(len(hashes), dtype=np.uint64)
-    least = _least_of(keyed, LENGTH - ANCHOR + 1)
+    least = _anchors(joined)
     size = np.array([len(t) for t in texts])
     stop = np.cumsum(size)
     # Strings that lie in one text: those that start up to 200 bytes before its end.
@@ -179,55 +221,88 @@ def anchor_runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     count = np.diff(np.r_[first, len(least)])
     keep = inside[first]
     # Neighbouring texts never share a run: 199 bytes lie between their strings.
-    return least[first][keep] >> _PLACE_BITS, first[keep], count[keep]
+    chosen = least[first][keep]
+    place = (chosen & np.uint64((1 << int(_PLACE_BITS)) - 1)).astype(np.int64)
+    return chosen >> _PLACE_BITS, first[keep], count[keep], place
 
 
 def _anchor_rows(part: pa.RecordBatch, bits: int) -> Iterator[tuple[int, bytes]]:
-    """Per hash range the distinct anchors of a slice, with a flag for those seen twice."""
+    """Per hash range the distinct anchors of a slice, with their number of runs (63 at most)."""
     anchors = np.sort(anchor_runs(bytes_of(part.column(1)))[0])
     first = np.flatnonzero(np.r_[True, anchors[1:] != anchors[:-1]]) if len(anchors) else np.zeros(0, np.int64)
-    twice = (np.diff(np.r_[first, len(anchors)]) > 1).astype(np.uint64)
+    number = np.minimum(np.diff(np.r_[first, len(anchors)]), 63).astype(np.uint64)
     anchors = anchors[first]
     edges = np.searchsorted(anchors >> np.uint64(ANCHOR_BITS - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
     for r in np.flatnonzero(np.diff(edges)):
         a, b = edges[r], edges[r + 1]
-        yield int(r), pack_sorted(anchors[a:b] << np.uint64(1) | twice[a:b])
+        yield int(r), pack_sorted(anchors[a:b] << np.uint64(6) | number[a:b])
 
 
-def _seen_twice(table: pa.Table, bits: int) -> pa.Table:
+def _often_seen(table: pa.Table, bits: int) -> pa.Table:
+    """Filter parts of a range: the anchors that occur twice, and those that are very common."""
     run = np.concatenate([unpack_sorted(b) for b in table.column("body").to_pylist()])
     run.sort()
-    anchors = run >> np.uint64(1)
+    anchors = run >> np.uint64(6)
     first = np.flatnonzero(np.r_[True, anchors[1:] != anchors[:-1]])
-    often = (np.diff(np.r_[first, len(run)]) > 1) | (np.bitwise_or.reduceat(run, first) & np.uint64(1)).astype(bool)
+    number = np.add.reduceat(run & np.uint64(63), first)
     return pa.table({"rng": pa.array([table.column("rng")[0].as_py()], pa.int32()),
-                     "body": pa.array([blobs.filter_part(anchors[first][often], bits)], pa.binary())})
+                     "body": pa.array([blobs.filter_part(anchors[first][number > 1], bits)], pa.binary()),
+                     "common": pa.array([blobs.filter_part(anchors[first][number > COMMON], bits)], pa.binary())})
+
 
+def _split_common(anchors: np.ndarray, first: np.ndarray, count: np.ndarray, place: np.ndarray,
+                  joined: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of a common anchor cut into parts of 8 strings or fewer, each with an anchor of its own.
 
-def _piece_rows(part: pa.RecordBatch, bits: int, field: np.ndarray) -> Iterator[tuple[int, bytes, list[bytes]]]:
-    """Per hash range the pieces of text whose anchor may occur twice."""
+    Strings at one distance from the anchor, in blocks of 8, all hold the 193 bytes that follow
+    from the block.  The hash of these is the part's anchor, so equal strings still meet, and
+    a passage that a third of all documents have is dealt to many ranges by what surrounds it.
+    """
+    import xxhash
+
+    out = []
+    for h, p, n, a in zip(anchors.tolist(), first.tolist(), count.tolist(), place.tolist()):
+        for block in range((a - p - n + 1) // 8, (a - p) // 8 + 1):
+            low, high = max(p, a - 8 * block - 7), min(p + n - 1, a - 8 * block)
+            core = a - 8 * block
+            own = xxhash.xxh3_64_intdigest(joined[core:core + LENGTH - 7], seed=h ^ block << 41) >> 64 - ANCHOR_BITS
+            out.append((own, low, high - low + 1))
+    own, first, count = zip(*out)
+    return np.array(own, np.uint64), np.array(first, np.int64), np.array(count, np.int64)
+
+
+def _piece_rows(part: pa.RecordBatch, bits: int, field: np.ndarray, common: np.ndarray) -> Iterator[tuple[int, bytes, list[bytes]]]:
+    """Per hash range the pieces of text whose anchor may occur twice.
+
+    One more row, of three values, tells the documents of the slice; it passes through the range.
+    """
     import zstandard
 
     texts = bytes_of(part.column(1))
-    anchors, first, count = anchor_runs(texts)
+    joined = b"".join(texts)
+    anchors, first, count, place = anchor_runs(texts)
     keep = blobs.passes(anchors, field, bits)
-    anchors, first, count = anchors[keep], first[keep], count[keep]
+    anchors, first, count, place = anchors[keep], first[keep], count[keep], place[keep]
     if not len(anchors):
         return
+    often = blobs.passes(anchors, common, bits)
+    if often.any():
+        parts = _split_common(anchors[often], first[often], count[often], place[often], joined)
+        anchors, first, count = (np.concatenate([c[~often], x]) for c, x in zip((anchors, first, count), parts))
     order = np.argsort(anchors, kind="stable")
     anchors, first, count = anchors[order], first[order], count[order]
     ids = np.array(part.column(0).to_pylist(), np.int64)
     about = [pack_signed(ids), pack(np.array([len(t) for t in texts], np.uint64)),
              pack(np.array([text_check(t) for t in texts], np.uint64))]
-    joined = b"".join(texts)
     name = hashlib.md5(b"".join(about) + hashlib.md5(joined).digest()).digest()
+    yield int.from_bytes(name[:4], "little") >> (32 - bits), name, about
     packer = zstandard.ZstdCompressor(level=3)
     edges = np.searchsorted(anchors >> np.uint64(ANCHOR_BITS - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
     for r in np.flatnonzero(np.diff(edges)):
         a, b = edges[r], edges[r + 1]
         places = zip(first[a:b].tolist(), count[a:b].tolist())
         body = b"".join([joined[p:p + n + LENGTH - 1] for p, n in places])
-        yield int(r), name, [*about, pack_sorted(anchors[a:b]), pack(first[a:b].astype(np.uint64)),
+        yield int(r), name, [pack_sorted(anchors[a:b]), pack(first[a:b].astype(np.uint64)),
                              pack(count[a:b].astype(np.uint64)), packer.compress(body)]
 
 
@@ -244,7 +319,10 @@ def _repeated_pieces(table: pa.Table) -> pa.Table:
     unpacker = zstandard.ZstdDecompressor()
     bodies = table.column("body").to_pylist()
     places: dict[tuple[int, bytes], list[tuple[int, int]]] = {}  # (anchor, piece) -> its places
-    for k, (_, _, _, anchors, first, count, body) in enumerate(bodies):
+    for k, values in enumerate(bodies):
+        if len(values) == 3:
+            continue
+        anchors, first, count, body = values
         text, at = unpacker.decompress(body), 0
         for anchor, p, n in zip(unpack_sorted(anchors).tolist(), unpack(first).tolist(), unpack(count).tolist()):
             places.setdefault((anchor, text[at:at + n + LENGTH - 1]), []).append((k, p))
@@ -277,31 +355,35 @@ def _repeated_pieces(table: pa.Table) -> pa.Table:
     for anchor, piece, runs in found:
         for k, p in places[anchor, piece]:
             hits.setdefault(k, []).extend((p + a, n) for a, n in runs)
-    names, rows = [], []
+    slices = table.column("slice").to_pylist()
+    about = [k for k, values in enumerate(bodies) if len(values) == 3]
+    names, rows = [slices[k] for k in about], [bodies[k] for k in about]
     for k, runs in hits.items():
         runs.sort()
         start, number = np.array(runs, np.uint64).T
-        names.append(table.column("slice")[k].as_py())
-        rows.append([*bodies[k][:3], pack_sorted(start), pack(number)])
+        names.append(slices[k])
+        rows.append([pack_sorted(start), pack(number)])
     return pa.table({"slice": pa.array(names, pa.binary()), "body": pa.array(rows, pa.list_(pa.binary()))})
 
 
 def _spans(table: pa.Table) -> pa.Table:
     """Removed byte ranges of the documents of one slice."""
     bodies = table.column("body").to_pylist()
-    ids, size, check = unpack_signed(bodies[0][0]), unpack(bodies[0][1]).view(np.int64), unpack(bodies[0][2])
+    # Slices with the same rows have the same name, documents and runs.
+    ids, size, check = next((unpack_signed(b[0]), unpack(b[1]).view(np.int64), unpack(b[2])) for b in bodies if len(b) == 3)
+    runs = [b for b in bodies if len(b) == 2]
     stop = np.cumsum(size)
-    start = np.concatenate([unpack_sorted(b[3]) for b in bodies]).view(np.int64)
-    end = start + np.concatenate([unpack(b[4]) for b in bodies]).view(np.int64) + LENGTH - 1
+    start = np.concatenate([np.zeros(0, np.uint64), *(unpack_sorted(b[0]) for b in runs)]).view(np.int64)
+    end = start + np.concatenate([np.zeros(0, np.uint64), *(unpack(b[1]) for b in runs)]).view(np.int64) + LENGTH - 1
     order = np.argsort(start, kind="stable")
     start, end = start[order], end[order]
     document = np.searchsorted(stop, start, "right")
     reach = np.maximum.accumulate(end)  # no range leaves its document, so this respects documents too
-    head = np.flatnonzero(np.r_[True, (document[1:] != document[:-1]) | (start[1:] > reach[:-1])])
-    tail = np.r_[head[1:], len(start)] - 1
+    head = np.flatnonzero(np.r_[True, (document[1:] != document[:-1]) | (start[1:] > reach[:-1])][:len(start)])
+    tail = np.r_[head[1:], len(start)].astype(np.int64)[:len(head)] - 1
     own = document[head]
     flat = np.stack([start[head], reach[tail]], 1) - (stop - size)[own][:, None]
-    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]][:len(own)])
     bounds = np.r_[first, len(own)]
     return pa.table({"doc_id": pa.array(ids[own[first]]), "n": pa.array(size[own[first]]),
                      "code": pa.array(check[own[first]].view(np.int64)),
@@ -323,12 +405,16 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     bits = range_bits(total, RANGE_BYTES)
     first = pa.schema([("rng", pa.int32()), ("body", pa.binary())])
     anchors = rows.mapInArrow(lambda b: _emit(b, lambda p: _anchor_rows(p, bits), first), "rng int, body binary")
-    parts = anchors.groupBy("rng").applyInArrow(lambda t: _seen_twice(t, bits), "rng int, body binary").toArrow()
-    sent = rows.sparkSession.sparkContext.broadcast(blobs.whole_filter(parts, bits))
+    parts = anchors.groupBy("rng").applyInArrow(lambda t: _often_seen(t, bits), "rng int, body binary, common binary").toArrow()
+    twice = blobs.whole_filter(parts, bits)
+    common = blobs.whole_filter(parts.select(["rng", "common"]).rename_columns(["rng", "body"]), bits)
+    sent = rows.sparkSession.sparkContext.broadcast((twice, common))
     second = pa.schema([("rng", pa.int32()), ("slice", pa.binary()), ("body", pa.list_(pa.binary()))])
-    pieces = rows.mapInArrow(lambda b: _emit(b, lambda p: _piece_rows(p, bits, sent.value), second),
+    pieces = rows.mapInArrow(lambda b: _emit(b, lambda p: _piece_rows(p, bits, *sent.value), second),
                              "rng int, slice binary, body array<binary>")
-    runs = pieces.groupBy("rng").applyInArrow(_repeated_pieces, "slice binary, body array<binary>")
+    # A fixed number of partitions: the compressed sizes say little about the work in a range.
+    dealt = pieces.repartition(min(1 << bits, MOST_TASKS), "rng")
+    runs = dealt.groupBy("rng").applyInArrow(_repeated_pieces, "slice binary, body array<binary>")
     return runs.groupBy("slice").applyInArrow(_spans, "doc_id long, n long, code long, spans array<long>")
 
 

@@ -61,9 +61,9 @@ def test_repeated_starts_of_pieces():
 def test_anchors_follow_content():
     draw = random.Random(9)
     body = bytes(draw.randrange(256) for _ in range(3000))
-    anchors, first, count = anchor_runs([b"short", body, b"", b"y" * 400])
+    anchors, first, count, _ = anchor_runs([b"short", body, b"", b"y" * 400])
     assert count.sum() == 3000 - 199 + 201 and (first >= 5).all()
-    again, at, _ = anchor_runs([b"zz" + body[500:1500]])
+    again, at, _, _ = anchor_runs([b"zz" + body[500:1500]])
     inner = {a: p - 5 for a, p in zip(anchors.tolist(), first.tolist())}
     same = [inner[a] - (p - 2 + 500) for a, p in zip(again.tolist(), at.tolist()) if a in inner]
     assert len(same) >= len(again) - 2 and same.count(0) >= len(same) - 2
@@ -75,7 +75,9 @@ def test_given_documents(spark, sf_dir):
 
 
 @pytest.mark.parametrize("small", [False, True])
-def test_edges(make_docs, monkeypatch, small):
+@pytest.mark.parametrize("common", [1024, 2])
+def test_edges(make_docs, monkeypatch, small, common):
+    monkeypatch.setattr(suffix_dedup, "COMMON", common)
     if small:
         monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", 700)
         monkeypatch.setattr(suffix_dedup, "ARRAY_BYTES", 900)
