@@ -181,49 +181,44 @@ def _substring_hashes(data: np.ndarray, width: int) -> np.ndarray:
         reach *= 2
 
 
-def _anchors(data: np.ndarray) -> np.ndarray:
-    """For each string of the joined texts its anchor's hash, then the anchor's place.
-
-    The places are worked on block by block, so that the arrays stay in the processor's cache.
-    """
-    out = np.empty(len(data) - LENGTH + 1, np.uint64)
-    for a in range(0, len(out), _BLOCK):
-        hashes = _substring_hashes(data[a:a + _BLOCK + LENGTH - 1], ANCHOR)
-        hashes >>= _PLACE_BITS
-        hashes <<= _PLACE_BITS
-        hashes |= np.arange(a, a + len(hashes), dtype=np.uint64)
-        least = _least_of(hashes, LENGTH - ANCHOR + 1)
-        out[a:a + len(least)] = least
-    return out
-
-
 def anchor_runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of neighbouring 200-byte strings with one anchor, over the joined texts.
 
     Returns the anchor hash, the place of the first string, the number of strings and the place
-    of the anchor of each run.  The anchor is the leftmost 48 bytes of least hash, so it follows from the content.
+    of the anchor of each run.  The anchor is the leftmost 48 bytes of least hash, so it follows
+    from the content.  The places are worked on block by block: the arrays stay small, and in
+    the processor's cache.
     """
-    none = np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
-    joined = np.frombuffer(b"".join(texts), np.uint8)
-    if len(joined) < LENGTH:
-        return none
-    least = _anchors(joined)
-    size = np.array([len(t) for t in texts])
-    stop = np.cumsum(size)
-    # Strings that lie in one text: those that start up to 200 bytes before its end.
-    good = np.zeros(len(least) + 1, np.int32)
-    fits = size >= LENGTH
-    np.add.at(good, (stop - size)[fits], 1)
-    np.add.at(good, (stop - LENGTH + 1)[fits], -1)
-    inside = np.cumsum(good[:-1]) > 0
-    edge = np.r_[True, (least[1:] != least[:-1]) | (inside[1:] != inside[:-1])]
-    first = np.flatnonzero(edge)
-    count = np.diff(np.r_[first, len(least)])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    total = len(data) - LENGTH + 1
+    if total <= 0:
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
+    inside = np.zeros(total, bool)  # strings that lie in one text
+    start = 0
+    for text in texts:
+        if len(text) >= LENGTH:
+            inside[start:start + len(text) - LENGTH + 1] = True
+        start += len(text)
+    places, chosen = [], []
+    for a in range(0, total, _BLOCK):
+        keyed = _substring_hashes(data[a:a + _BLOCK + LENGTH - 1], ANCHOR)
+        keyed >>= _PLACE_BITS
+        keyed <<= _PLACE_BITS
+        keyed |= np.arange(a, a + len(keyed), dtype=np.uint64)
+        least = _least_of(keyed, LENGTH - ANCHOR + 1)
+        part = inside[a:a + len(least)]
+        edge = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (part[1:] != part[:-1])])
+        places.append(edge + a)
+        chosen.append(least[edge])
+    first, chosen = np.concatenate(places), np.concatenate(chosen)
+    # A run that goes on in the next block is one run.
+    fresh = np.r_[True, (chosen[1:] != chosen[:-1]) | (inside[first[1:]] != inside[first[:-1]])]
+    first, chosen = first[fresh], chosen[fresh]
+    count = np.diff(np.r_[first, total])
     keep = inside[first]
-    # Neighbouring texts never share a run: 199 bytes lie between their strings.
-    chosen = least[first][keep]
     place = (chosen & np.uint64((1 << int(_PLACE_BITS)) - 1)).astype(np.int64)
-    return chosen >> _PLACE_BITS, first[keep], count[keep], place
+    # Neighbouring texts never share a run: 199 bytes lie between their strings.
+    return chosen[keep] >> _PLACE_BITS, first[keep], count[keep], place[keep]
 
 
 def _anchor_rows(part: pa.RecordBatch, bits: int) -> Iterator[tuple[int, bytes]]:
