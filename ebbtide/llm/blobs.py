@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
-#: Bits of an anchor hash, and of a filter of anchors (16 MiB, whatever the input).
+#: Bits of an anchor hash, and the most bits of a filter of anchors (16 MiB, whatever the input).
 ANCHOR_BITS, FILTER_BITS = 40, 1 << 27
 MIX = np.uint64(0xFF51AFD7ED558CCD)
 
@@ -76,32 +76,35 @@ def _slots(anchors: np.ndarray, low_bits: int, size_bits: int) -> list[np.ndarra
     return [(spread >> np.uint64(s)) & mask for s in (0, 20, 40)]
 
 
-def _size_bits(bits: int) -> int:
-    return FILTER_BITS.bit_length() - 1 - bits
+def filter_exponent(elements: int, bits: int) -> int:
+    """Size of a filter as a power of two: 16 bits an element, within the limits."""
+    most = FILTER_BITS.bit_length() - 1
+    return min(max((16 * max(elements, 1)).bit_length(), 16, bits + 4), most)
 
 
-def filter_part(anchors: np.ndarray, bits: int) -> bytes:
+def filter_part(anchors: np.ndarray, bits: int, exponent: int) -> bytes:
     """The part of the filter of one range (``bits`` leading bits), with its anchors set."""
-    field = np.zeros(1 << _size_bits(bits), bool)
-    for slot in _slots(anchors, ANCHOR_BITS - bits, _size_bits(bits)):
+    field = np.zeros(1 << exponent - bits, bool)
+    for slot in _slots(anchors, ANCHOR_BITS - bits, exponent - bits):
         field[slot] = True
     return np.packbits(field, bitorder="little").tobytes()
 
 
-def whole_filter(parts: pa.Table, bits: int) -> np.ndarray:
-    """The filter from the parts ``(rng, body)`` of its ranges; its size does not depend on the input."""
-    size = FILTER_BITS >> bits >> 3
-    field = np.zeros(FILTER_BITS >> 3, np.uint8)
-    for r, body in zip(parts.column("rng").to_pylist(), parts.column("body").to_pylist()):
-        field[r * size:(r + 1) * size] = np.frombuffer(body, np.uint8)
+def whole_filter(ranges: list[int], parts: list[bytes], bits: int, exponent: int) -> np.ndarray:
+    """The filter from the parts of its ranges."""
+    size = 1 << exponent - bits >> 3
+    field = np.zeros(1 << exponent >> 3, np.uint8)
+    for r, part in zip(ranges, parts):
+        field[r * size:(r + 1) * size] = np.frombuffer(part, np.uint8)
     return field
 
 
 def passes(anchors: np.ndarray, field: np.ndarray, bits: int) -> np.ndarray:
     """Which anchors may be set; a wrong yes costs work only."""
-    base = (anchors >> np.uint64(ANCHOR_BITS - bits)) << np.uint64(_size_bits(bits))
+    size_bits = (8 * len(field)).bit_length() - 1 - bits
+    base = (anchors >> np.uint64(ANCHOR_BITS - bits)) << np.uint64(size_bits)
     out = np.ones(len(anchors), bool)
-    for slot in _slots(anchors, ANCHOR_BITS - bits, _size_bits(bits)):
+    for slot in _slots(anchors, ANCHOR_BITS - bits, size_bits):
         at = base + slot
         out &= ((field[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
     return out

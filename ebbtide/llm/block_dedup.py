@@ -100,7 +100,7 @@ def _anchor_rows(part: pa.RecordBatch, bits: int) -> Iterator[tuple[int, bytes]]
             yield r, pack_sorted(anchors[a:b] << np.uint64(2) | flags[a:b])
 
 
-def _hit_filter(table: pa.Table, bits: int) -> pa.Table:
+def _hit_filter(table: pa.Table, bits: int, exponent: int) -> pa.Table:
     """The filter bits of a range: index blocks that another document's window hits."""
     run = np.concatenate([unpack_sorted(b) for b in table.column("body").to_pylist()])
     run.sort()
@@ -110,7 +110,7 @@ def _hit_filter(table: pa.Table, bits: int) -> pa.Table:
     either = np.bitwise_or.reduceat(flags, first)
     hit = anchors[first][((either & 1) > 0) & ((count > 1) | (either >= 2))]
     return pa.table({"rng": pa.array([table.column("rng")[0].as_py()], pa.int32()),
-                     "body": pa.array([blobs.filter_part(hit, bits)], pa.binary())})
+                     "body": pa.array([blobs.filter_part(hit, bits, exponent)], pa.binary())})
 
 
 def _window_rows(part: pa.RecordBatch, bits: int, field: np.ndarray) -> Iterator[tuple[int, bytes, list[bytes]]]:
@@ -198,10 +198,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = range_bits(total // 6, RANGE_HASHES)
+    exponent = blobs.filter_exponent(total // 6 // BLOCK, bits)
     first = pa.schema([("rng", pa.int32()), ("body", pa.binary())])
     anchors = rows.mapInArrow(lambda b: _emit(b, lambda p: _anchor_rows(p, bits), first), "rng int, body binary")
-    fields = anchors.groupBy("rng").applyInArrow(lambda t: _hit_filter(t, bits), "rng int, body binary").toArrow()
-    field = blobs.whole_filter(fields, bits)
+    fields = anchors.groupBy("rng").applyInArrow(lambda t: _hit_filter(t, bits, exponent), "rng int, body binary").toArrow()
+    field = blobs.whole_filter(fields.column("rng").to_pylist(), fields.column("body").to_pylist(), bits, exponent)
     sent = spark.sparkContext.broadcast(field)
     second = pa.schema([("rng", pa.int32()), ("slice", pa.binary()), ("body", pa.list_(pa.binary()))])
     windows = rows.mapInArrow(lambda b: _emit(b, lambda p: _window_rows(p, bits, sent.value), second),

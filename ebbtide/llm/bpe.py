@@ -23,7 +23,7 @@ from ebbtide.llm.encoder import Encoder, worker_encoder
 from ebbtide.sources.staging import new_path, stage
 
 LEAST_CHUNK, MASK_BITS, MOST_CHUNK = 128, 9, 4096
-#: Bits of the filter that says which chunk hashes are shared: 8 MiB, whatever the input.
+#: Most bits of the filter that says which chunk hashes are shared: 8 MiB, whatever the input.
 FILTER_BITS = 1 << 26
 #: Text bytes that one task of the last step holds.
 BUCKET_BYTES = 4_000_000
@@ -87,16 +87,19 @@ class Filter:
         self.bits = bits
 
     def flags(self, keys: list[bytes]) -> np.ndarray:
-        slot = np.array([short_hash(k) for k in keys], np.int64) & (FILTER_BITS - 1)
+        slot = np.array([short_hash(k) for k in keys], np.int64) & (64 * len(self.bits) - 1)
         return ((self.bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
 
 
 def shared_filter(docs: DataFrame) -> Filter:
-    """Hashes of chunks in two rows or more, as a bit field of a fixed size.
+    """Hashes of chunks in two rows or more, as a bit field of a limited size.
 
     Counts are combined in the tasks and before the shuffle; the field reaches the driver as at
     most ``FILTER_BITS / 64`` words.
     """
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = min(max(1 << (total // LEAST_CHUNK).bit_length() + 2, 1 << 16), FILTER_BITS)
+
     def count(batch):
         texts, seen = bytes_of(batch.column(0)), {}
         for text, ends in zip(texts, chunk_ends(texts)):
@@ -105,10 +108,10 @@ def shared_filter(docs: DataFrame) -> Filter:
         return [list(seen), list(seen.values())]
 
     counts = map_rows(narrow(docs, "text"), "h long, n long", count).groupBy("h").agg(F.sum("n").alias("n"))
-    slot = F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1))
+    slot = F.col("h").bitwiseAND(F.lit(size - 1))
     words = (counts.where("n > 1").groupBy(F.shiftrightunsigned(slot, 6).alias("word"))
-             .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(h & {63} as int))")).alias("bits")).toArrow())
-    bits = np.zeros(FILTER_BITS // 64, np.uint64)
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).toArrow())
+    bits = np.zeros(size // 64, np.uint64)
     bits[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
     return Filter(bits)
 

@@ -233,7 +233,7 @@ def _anchor_rows(part: pa.RecordBatch, bits: int) -> Iterator[tuple[int, bytes]]
         yield int(r), pack_sorted(anchors[a:b] << np.uint64(6) | number[a:b])
 
 
-def _often_seen(table: pa.Table, bits: int) -> pa.Table:
+def _often_seen(table: pa.Table, bits: int, exponent: int) -> pa.Table:
     """Filter parts of a range: the anchors that occur twice, and those that are very common."""
     run = np.concatenate([unpack_sorted(b) for b in table.column("body").to_pylist()])
     run.sort()
@@ -241,8 +241,8 @@ def _often_seen(table: pa.Table, bits: int) -> pa.Table:
     first = np.flatnonzero(np.r_[True, anchors[1:] != anchors[:-1]])
     number = np.add.reduceat(run & np.uint64(63), first)
     return pa.table({"rng": pa.array([table.column("rng")[0].as_py()], pa.int32()),
-                     "body": pa.array([blobs.filter_part(anchors[first][number > 1], bits)], pa.binary()),
-                     "common": pa.array([blobs.filter_part(anchors[first][number > COMMON], bits)], pa.binary())})
+                     "body": pa.array([blobs.filter_part(anchors[first][number > 1], bits, exponent)], pa.binary()),
+                     "common": pa.array([blobs.filter_part(anchors[first][number > COMMON], bits, exponent)], pa.binary())})
 
 
 def _split_common(anchors: np.ndarray, first: np.ndarray, count: np.ndarray, place: np.ndarray,
@@ -284,8 +284,12 @@ def _piece_rows(part: pa.RecordBatch, bits: int, field: np.ndarray, common: np.n
     if often.any():
         parts = _split_common(anchors[often], first[often], count[often], place[often], joined)
         anchors, first, count = (np.concatenate([c[~often], x]) for c, x in zip((anchors, first, count), parts))
-    order = np.argsort(anchors, kind="stable")
-    anchors, first, count = anchors[order], first[order], count[order]
+    # Equal pieces of the slice travel once: periodic texts and copies are mostly such.
+    groups: dict[tuple[int, bytes], list[int]] = {}
+    for h, p, n in zip(anchors.tolist(), first.tolist(), count.tolist()):
+        groups.setdefault((h, joined[p:p + n + LENGTH - 1]), []).append(p)
+    pieces = sorted(groups, key=lambda g: g[0])
+    anchors = np.array([h for h, _ in pieces], np.uint64)
     ids = np.array(part.column(0).to_pylist(), np.int64)
     about = [pack_signed(ids), pack(np.array([len(t) for t in texts], np.uint64)),
              pack(np.array([text_check(t) for t in texts], np.uint64))]
@@ -295,10 +299,12 @@ def _piece_rows(part: pa.RecordBatch, bits: int, field: np.ndarray, common: np.n
     edges = np.searchsorted(anchors >> np.uint64(ANCHOR_BITS - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
     for r in np.flatnonzero(np.diff(edges)):
         a, b = edges[r], edges[r + 1]
-        places = zip(first[a:b].tolist(), count[a:b].tolist())
-        body = b"".join([joined[p:p + n + LENGTH - 1] for p, n in places])
-        yield int(r), name, [pack_sorted(anchors[a:b]), pack(first[a:b].astype(np.uint64)),
-                             pack(count[a:b].astype(np.uint64)), packer.compress(body)]
+        mine = pieces[a:b]
+        places = [groups[g] for g in mine]
+        yield int(r), name, [pack_sorted(anchors[a:b]), pack(np.array([len(p) for _, p in mine], np.uint64)),
+                             pack(np.array([len(x) for x in places], np.uint64)),
+                             pack_signed(np.array([p for x in places for p in x], np.int64)),
+                             packer.compress(b"".join(p for _, p in mine))]
 
 
 def _runs_of(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -313,15 +319,17 @@ def _repeated_pieces(table: pa.Table) -> pa.Table:
 
     unpacker = zstandard.ZstdDecompressor()
     bodies = table.column("body").to_pylist()
-    places: dict[tuple[int, bytes], list[tuple[int, int]]] = {}  # (anchor, piece) -> its places
+    places: dict[tuple[int, bytes], list[tuple[int, np.ndarray]]] = {}  # (anchor, piece) -> its places by row
     for k, values in enumerate(bodies):
         if len(values) == 3:
             continue
-        anchors, first, count, body = values
+        anchors, size, number, first, body = values
         text, at = unpacker.decompress(body), 0
-        for anchor, p, n in zip(unpack_sorted(anchors).tolist(), unpack(first).tolist(), unpack(count).tolist()):
-            places.setdefault((anchor, text[at:at + n + LENGTH - 1]), []).append((k, p))
-            at += n + LENGTH - 1
+        mine = np.split(unpack_signed(first), np.cumsum(unpack(number).view(np.int64))[:-1])
+        for anchor, n, where in zip(unpack_sorted(anchors).tolist(), unpack(size).tolist(), mine):
+            places.setdefault((anchor, text[at:at + n]), []).append((k, where))
+            at += n
+    copies = {g: sum(len(where) for _, where in x) for g, x in places.items()}
     groups: dict[int, list[bytes]] = {}
     for anchor, piece in places:
         groups.setdefault(anchor, []).append(piece)
@@ -329,14 +337,14 @@ def _repeated_pieces(table: pa.Table) -> pa.Table:
     held: list[tuple[int, bytes]] = []
 
     def sort_held() -> None:
-        flags = repeated_starts([p for _, p in held], [len(p) - LENGTH + 1 for _, p in held], [len(places[h]) for h in held])
+        flags = repeated_starts([p for _, p in held], [len(p) - LENGTH + 1 for _, p in held], [copies[h] for h in held])
         found.extend((*h, runs) for h, f in zip(held, flags) if (runs := _runs_of(f)))
         held.clear()
 
     size = 0
     for anchor, pieces in groups.items():
         if len(pieces) == 1:
-            if len(places[anchor, pieces[0]]) > 1:
+            if copies[anchor, pieces[0]] > 1:
                 found.append((anchor, pieces[0], [(0, len(pieces[0]) - LENGTH + 1)]))
             continue
         held += [(anchor, p) for p in pieces]
@@ -346,18 +354,19 @@ def _repeated_pieces(table: pa.Table) -> pa.Table:
             size = 0
     if held:
         sort_held()
-    hits: dict[int, list[tuple[int, int]]] = {}
+    hits: dict[int, list[tuple[np.ndarray, int]]] = {}
     for anchor, piece, runs in found:
-        for k, p in places[anchor, piece]:
-            hits.setdefault(k, []).extend((p + a, n) for a, n in runs)
+        for k, where in places[anchor, piece]:
+            hits.setdefault(k, []).extend((where + a, n) for a, n in runs)
     slices = table.column("slice").to_pylist()
     about = [k for k, values in enumerate(bodies) if len(values) == 3]
     names, rows = [slices[k] for k in about], [bodies[k] for k in about]
     for k, runs in hits.items():
-        runs.sort()
-        start, number = np.array(runs, np.uint64).T
+        start = np.concatenate([x for x, _ in runs])
+        number = np.repeat([n for _, n in runs], [len(x) for x, _ in runs])
+        order = np.argsort(start)
         names.append(slices[k])
-        rows.append([pack_sorted(start), pack(number)])
+        rows.append([pack_sorted(start[order].astype(np.uint64)), pack(number[order].astype(np.uint64))])
     return pa.table({"slice": pa.array(names, pa.binary()), "body": pa.array(rows, pa.list_(pa.binary()))})
 
 
@@ -398,11 +407,12 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     """
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = range_bits(total, RANGE_BYTES)
+    exponent = blobs.filter_exponent(total // (LENGTH - ANCHOR) * 2, bits)
     first = pa.schema([("rng", pa.int32()), ("body", pa.binary())])
     anchors = rows.mapInArrow(lambda b: _emit(b, lambda p: _anchor_rows(p, bits), first), "rng int, body binary")
-    parts = anchors.groupBy("rng").applyInArrow(lambda t: _often_seen(t, bits), "rng int, body binary, common binary").toArrow()
-    twice = blobs.whole_filter(parts, bits)
-    common = blobs.whole_filter(parts.select(["rng", "common"]).rename_columns(["rng", "body"]), bits)
+    parts = anchors.groupBy("rng").applyInArrow(lambda t: _often_seen(t, bits, exponent), "rng int, body binary, common binary").toArrow()
+    ranges = parts.column("rng").to_pylist()
+    twice, common = (blobs.whole_filter(ranges, parts.column(c).to_pylist(), bits, exponent) for c in ("body", "common"))
     sent = rows.sparkSession.sparkContext.broadcast((twice, common))
     second = pa.schema([("rng", pa.int32()), ("slice", pa.binary()), ("body", pa.list_(pa.binary()))])
     pieces = rows.mapInArrow(lambda b: _emit(b, lambda p: _piece_rows(p, bits, *sent.value), second),
