@@ -218,7 +218,8 @@ def anchor_runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     keep = inside[first]
     place = (chosen & np.uint64((1 << int(_PLACE_BITS)) - 1)).astype(np.int64)
     # Neighbouring texts never share a run: 199 bytes lie between their strings.
-    return chosen[keep] >> _PLACE_BITS, first[keep], count[keep], place[keep]
+    # Least hashes are small numbers: they are mixed again, so that all ranges get their share.
+    return mix(chosen[keep] >> _PLACE_BITS) >> _PLACE_BITS, first[keep], count[keep], place[keep]
 
 
 def _anchor_rows(part: pa.RecordBatch, bits: int) -> Iterator[tuple[int, bytes]]:
