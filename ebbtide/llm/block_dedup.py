@@ -114,7 +114,10 @@ def _hit_filter(table: pa.Table, bits: int, exponent: int) -> pa.Table:
 
 
 def _window_rows(part: pa.RecordBatch, bits: int, field: np.ndarray) -> Iterator[tuple[int, bytes, list[bytes]]]:
-    """Per hash range the 13-word windows around marked places: hashes and places."""
+    """Per hash range the 13-word windows around marked places: hashes, places and ``doc_id``.
+
+    One more row, of three values, tells the documents of the slice; it passes through a range.
+    """
     made = make_slice(part.column(0).to_pylist(), bytes_of(part.column(1)))
     left = made.left()
     mark = (left >= BLOCK) & blobs.passes(rolling(made.words, BLOCK, _BASES[0]) >> np.uint64(64 - ANCHOR_BITS), field, bits)
@@ -128,36 +131,41 @@ def _window_rows(part: pa.RecordBatch, bits: int, field: np.ndarray) -> Iterator
     order = np.argsort(hashes, kind="stable")
     hashes, check, at = hashes[order], check[order], at[order]
     about = [pack_signed(made.ids), pack(np.diff(made.starts).astype(np.uint64)), pack(made.check)]
-    name = hashlib.md5(b"".join(about)).digest()
+    name = hashlib.md5(b"".join(about) + made.words.tobytes()).digest()
+    yield int.from_bytes(name[:4], "little") >> (32 - bits), name, about
+    ids = made.ids[made.documents()[at]]
     edges = np.searchsorted(hashes >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
     for r in range(1 << bits):
         a, b = edges[r], edges[r + 1]
         if b > a:
-            yield r, name, [*about, pack_sorted(hashes[a:b]), pack(check[a:b]), pack(at[a:b].astype(np.uint64))]
+            yield r, name, [pack_sorted(hashes[a:b]), pack(check[a:b]), pack(at[a:b].astype(np.uint64)), pack_signed(ids[a:b])]
 
 
 def _later_windows(table: pa.Table) -> pa.Table:
     """Of the windows of a range, the places whose window an earlier document has."""
-    hashes, checks, ids, places, origin = [], [], [], [], []
-    bodies = table.column("body").to_pylist()
-    for k, (doc_ids, sizes, _, hashed, check, at) in enumerate(bodies):
-        at = unpack(at).view(np.int64)
-        starts = np.cumsum(unpack(sizes).view(np.int64))
-        hashes.append(unpack_sorted(hashed))
-        checks.append(unpack(check))
-        ids.append(unpack_signed(doc_ids)[np.searchsorted(starts, at, "right")])
-        places.append(at)
-        origin.append(np.full(len(at), k, np.int32))
-    hashes, checks, ids, places, origin = map(np.concatenate, (hashes, checks, ids, places, origin))
+    bodies, slices = table.column("body").to_pylist(), table.column("slice").to_pylist()
+    rows = [(slices[k], body) for k, body in enumerate(bodies) if len(body) == 3]
+    runs = [k for k, body in enumerate(bodies) if len(body) == 4]
+    if not runs:
+        return _named(rows)
+    hashes = np.concatenate([unpack_sorted(bodies[k][0]) for k in runs])
+    checks = np.concatenate([unpack(bodies[k][1]) for k in runs])
+    parts = [unpack(bodies[k][2]).view(np.int64) for k in runs]
+    places, origin = np.concatenate(parts), np.repeat(runs, [len(p) for p in parts])
+    ids = np.concatenate([unpack_signed(bodies[k][3]) for k in runs])
     order = np.lexsort((checks, hashes))
     h, c = hashes[order], checks[order]
     first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
     least = np.repeat(np.minimum.reduceat(ids[order], first), np.diff(np.r_[first, len(h)]))
     later = order[ids[order] > least]
-    rows = []
-    for k in np.unique(origin[later]):
-        mine = np.sort(places[later[origin[later] == k]])
-        rows.append((table.column("slice")[int(k)].as_py(), [*bodies[k][:3], pack_sorted(mine.astype(np.uint64))]))
+    later = later[np.lexsort((places[later], origin[later]))]
+    cut = np.flatnonzero(np.diff(origin[later])) + 1
+    for mine in np.split(later, cut) if len(later) else []:
+        rows.append((slices[int(origin[mine[0]])], [pack_sorted(places[mine].astype(np.uint64))]))
+    return _named(rows)
+
+
+def _named(rows: list[tuple[bytes, list[bytes]]]) -> pa.Table:
     return pa.table({"slice": pa.array([r[0] for r in rows], pa.binary()),
                      "body": pa.array([r[1] for r in rows], pa.list_(pa.binary()))})
 
@@ -165,19 +173,17 @@ def _later_windows(table: pa.Table) -> pa.Table:
 def _spans(table: pa.Table, window: int) -> pa.Table:
     """Removed word ranges of the documents of one slice."""
     bodies = table.column("body").to_pylist()
-    ids, sizes, check = unpack_signed(bodies[0][0]), unpack(bodies[0][1]).view(np.int64), unpack(bodies[0][2])
-    starts = np.cumsum(sizes) - sizes
-    # Two slices with the same rows have the same name and the same places.
-    at = np.unique(np.concatenate([unpack_sorted(b[3]) for b in bodies]).view(np.int64))
-    document = np.searchsorted(starts + sizes, at, "right")
-    cut = np.r_[True, (document[1:] != document[:-1]) | (at[1:] > at[:-1] + window)]
-    head = np.flatnonzero(cut)
-    tail = np.r_[head[1:], len(at)] - 1
-    begin, stop = at[head] - starts[document[head]], at[tail] + window - starts[document[head]]
+    # Slices with the same rows have the same name, documents and places.
+    ids, sizes, check = next((unpack_signed(b[0]), unpack(b[1]).view(np.int64), unpack(b[2])) for b in bodies if len(b) == 3)
+    ends = np.cumsum(sizes)
+    at = np.unique(np.concatenate([np.zeros(0, np.uint64), *(unpack_sorted(b[0]) for b in bodies if len(b) == 1)]).view(np.int64))
+    document = np.searchsorted(ends, at, "right")
+    head = np.flatnonzero(np.r_[True, (document[1:] != document[:-1]) | (at[1:] > at[:-1] + window)][:len(at)])
+    tail = np.r_[head[1:], len(at)].astype(np.int64)[:len(head)] - 1
     own = document[head]
-    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    flat = np.stack([at[head], at[tail] + window], 1) - (ends - sizes)[own][:, None]
+    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]][:len(own)])
     bounds = np.r_[first, len(own)]
-    flat = np.stack([begin, stop], 1)
     return pa.table({"doc_id": pa.array(ids[own[first]]), "n": pa.array(sizes[own[first]]),
                      "code": pa.array(check[own[first]].view(np.int64)),
                      "spans": pa.array([flat[a:b].ravel().tolist() for a, b in zip(bounds, bounds[1:])], pa.list_(pa.int64()))})
