@@ -181,7 +181,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
     store, inner = filesystem(folder)
     store.create_dir(f"{inner}/files", recursive=True)
     ordered = (narrow(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-               .repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text"))
+               .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"))
     written = ordered.mapInArrow(lambda batches: _write_partition(batches, f"{folder}/files", tokenizer, end_id),
                                  "shard int, file string, documents long, tokens long")
     rows = sorted(tuple(r) for r in written.collect())  # one row per file
@@ -224,9 +224,10 @@ def read_token_files(spark: SparkSession, folder: str, doc_ids: Iterable[int] |
     """
     wanted = None if doc_ids is None else set(doc_ids)
     manifest = spark.read.parquet(f"{folder}/manifest")
-    tasks = manifest.select("file", "start", "shard").repartition(F.col("shard"))
+    files = max(manifest.count(), 1)
+    tasks = manifest.select("file", "start").repartition(files)  # a fixed number: the rows are tiny, the files are not
     last = "ids_crc32 long" if digest else "ids array<long>"
-    return tasks.select("file", "start").mapInArrow(
+    return tasks.mapInArrow(
         lambda batches: _read_files(batches, f"{folder}/files", wanted, digest),
         f"doc_id long, start long, n_tokens long, {last}")
 
