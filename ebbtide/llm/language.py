@@ -20,6 +20,8 @@ from ebbtide.llm.common import id_type, map_rows, narrow, texts_of, worker_store
 
 #: Bound of the labelled sample: letters (and gaps) of text per language, and rows looked at.
 SAMPLE_SYMBOLS, SAMPLE_ROWS = 20_000, 200
+#: Languages that are learned, the most frequent ones.
+MOST_LANGUAGES = 400
 #: Letters with a symbol of their own; others share the symbols behind them.
 OWN_LETTERS, SHARED = 96, 31
 GAP = 0
@@ -165,10 +167,13 @@ def learn(docs: DataFrame, where: str, symbols: int = SAMPLE_SYMBOLS, rows: int
     times the rows wanted are gathered, whatever the size of a language or of a group of copies.
     """
     labelled = docs.where(where).where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("text").alias("h"))
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
-    # About four times the rows wanted pass the hash threshold; then exactly that many are kept.
-    share = F.least(F.lit(1.0), F.lit(4.0 * rows) / F.col("n"))
-    near = labelled.join(counts, "lang").where(F.pmod(F.col("h"), F.lit(1 << 30)) < share * (1 << 30)).dropDuplicates(["lang", "h"])
+    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    if not counts:
+        return Model([], None, [], [])
+    # About four times the rows wanted pass the hash threshold, before anything is shuffled.
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, 4.0 * rows / r["count"]) * (1 << 30)))])
+    near = (labelled.where(F.pmod(F.col("h"), F.lit(1 << 30)) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0)))
+            .dropDuplicates(["lang", "h"]))
     picked = near.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct("h", F.substring("text", 1, 10 * symbols).alias("text")))), 1, rows).alias("texts"))
     samples = {r.lang: [t.text for t in r.texts] for r in picked.collect()}
     letters, kept = letter_table(), {}
