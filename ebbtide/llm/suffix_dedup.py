@@ -26,7 +26,7 @@ from ebbtide.llm.block_dedup import text_check
 from ebbtide.llm.common import bytes_of, id_type, map_rows
 
 LENGTH, ANCHOR = 200, 48
-#: Text bytes of a slice (fewer than 2**24), of a hash range, and of one suffix array.
+#: Text bytes of a slice (a longer text is one), of a hash range, and of one suffix array.
 SLICE_BYTES, RANGE_BYTES, ARRAY_BYTES = 4_000_000, 4_000_000, 400_000
 MOST_TASKS = 8192
 #: Runs beyond which an anchor is common, and its strings are dealt out further.
@@ -34,6 +34,7 @@ COMMON = 1024
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _PLACE_BITS = np.uint64(64 - ANCHOR_BITS)
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64))
+#: Places worked on at once; the place in a block has to fit in the low 24 bits of a key.
 _BLOCK = 1 << 15
 
 
@@ -187,7 +188,7 @@ def anchor_runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     Returns the anchor hash, the place of the first string, the number of strings and the place
     of the anchor of each run.  The anchor is the leftmost 48 bytes of least hash, so it follows
     from the content.  The places are worked on block by block: the arrays stay small, and in
-    the processor's cache.
+    the processor's cache, and a key holds the place in its block, however long the texts are.
     """
     data = np.frombuffer(b"".join(texts), np.uint8)
     total = len(data) - LENGTH + 1
@@ -199,27 +200,28 @@ def anchor_runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         if len(text) >= LENGTH:
             inside[start:start + len(text) - LENGTH + 1] = True
         start += len(text)
-    places, chosen = [], []
+    places, hashes, chosen = [], [], []
+    low = np.uint64((1 << int(_PLACE_BITS)) - 1)
     for a in range(0, total, _BLOCK):
         keyed = _substring_hashes(data[a:a + _BLOCK + LENGTH - 1], ANCHOR)
         keyed >>= _PLACE_BITS
         keyed <<= _PLACE_BITS
-        keyed |= np.arange(a, a + len(keyed), dtype=np.uint64)
+        keyed |= np.arange(len(keyed), dtype=np.uint64)
         least = _least_of(keyed, LENGTH - ANCHOR + 1)
         part = inside[a:a + len(least)]
         edge = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (part[1:] != part[:-1])])
         places.append(edge + a)
-        chosen.append(least[edge])
-    first, chosen = np.concatenate(places), np.concatenate(chosen)
-    # A run that goes on in the next block is one run.
-    fresh = np.r_[True, (chosen[1:] != chosen[:-1]) | (inside[first[1:]] != inside[first[:-1]])]
-    first, chosen = first[fresh], chosen[fresh]
+        hashes.append(least[edge] >> _PLACE_BITS)
+        chosen.append((least[edge] & low).astype(np.int64) + a)
+    first, anchors, place = np.concatenate(places), np.concatenate(hashes), np.concatenate(chosen)
+    # A run that goes on in the next block is one run; one place has one hash.
+    fresh = np.r_[True, (place[1:] != place[:-1]) | (inside[first[1:]] != inside[first[:-1]])]
+    first, anchors, place = first[fresh], anchors[fresh], place[fresh]
     count = np.diff(np.r_[first, total])
     keep = inside[first]
-    place = (chosen & np.uint64((1 << int(_PLACE_BITS)) - 1)).astype(np.int64)
     # Neighbouring texts never share a run: 199 bytes lie between their strings.
     # Least hashes are small numbers: they are mixed again, so that all ranges get their share.
-    return mix(chosen[keep] >> _PLACE_BITS) >> _PLACE_BITS, first[keep], count[keep], place[keep]
+    return mix(anchors[keep]) >> _PLACE_BITS, first[keep], count[keep], place[keep]
 
 
 def _anchor_rows(part: pa.RecordBatch, bits: int) -> Iterator[tuple[int, bytes]]:

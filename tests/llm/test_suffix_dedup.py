@@ -69,6 +69,29 @@ def test_anchors_follow_content():
     assert len(same) >= len(again) - 2 and same.count(0) >= len(same) - 2
 
 
+def test_anchors_at_high_places():
+    draw = np.random.default_rng(10)
+    passage = draw.integers(0, 256, 20_000, np.uint8).tobytes()
+    filler = draw.integers(0, 256, (1 << 24) + 5000, np.uint8).tobytes()
+    # From below 2**24, across it, and at places with bit 24 set.
+    text = passage + filler[:(1 << 24) - 30_000] + passage + filler[(1 << 24) - 30_000:] + passage
+    starts = [0, len(passage) + (1 << 24) - 30_000, len(text) - len(passage)]
+    anchors, first, count, place = anchor_runs([text])
+    assert count.sum() == len(text) - 199 and ((place >= first) & (place <= first + 152)).all()
+    runs = [{(a, p - s, n, q - s) for a, p, n, q in zip(anchors.tolist(), first.tolist(), count.tolist(), place.tolist())
+             if s + 200 <= p and p + n + 399 <= s + len(passage)} for s in starts]
+    assert len(runs[0]) > 100 and runs[0] == runs[1] == runs[2]
+
+
+def test_repeats_beyond_16_mib(make_docs):
+    draw = random.Random(11)
+    passage = "".join(draw.choice("abcdefgh") for _ in range(2000))
+    filler = np.random.default_rng(12).integers(97, 123, (1 << 24) + 1000, np.uint8).tobytes().decode()
+    rows = [(1, filler + passage + "Z" * 150), (2, "Q" * 150 + passage)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in remove_repeats(make_docs(rows)).drop("kept").collect()}
+    assert got == {1: (len(filler) + 2150, 2000, 1), 2: (2150, 2000, 1)}
+
+
 def test_given_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert result(remove_repeats(docs)) == plain([(r.doc_id, r.text) for r in docs.collect()])
