@@ -22,7 +22,7 @@ from ebbtide.llm import blobs
 from ebbtide.llm.blobs import (
     ANCHOR_BITS, byte_slices, mix, pack, pack_signed, pack_sorted, range_bits, unpack, unpack_signed, unpack_sorted,
 )
-from ebbtide.llm.common import bytes_of, id_type, map_rows, narrow
+from ebbtide.llm.common import bytes_of, id_type, map_rows, text_code, text_code_column
 
 WINDOW, BLOCK = 13, 7
 #: Text bytes that a task works on at once, and hashes that meet in one range.
@@ -36,7 +36,7 @@ class Slice:
 
     ids: np.ndarray      # doc_id of each document
     starts: np.ndarray   # first word of each document, and the end of the last
-    check: np.ndarray    # 16 bits of each text, to tell rows with the same doc_id apart
+    codes: list[bytes]   # ``text_code`` of each text, to tell rows with the same doc_id apart
     words: np.ndarray    # 64-bit hash of each word
 
     def left(self) -> np.ndarray:
@@ -48,12 +48,6 @@ class Slice:
         return np.repeat(np.arange(len(self.ids)), np.diff(self.starts))
 
 
-def text_check(text: bytes) -> int:
-    import xxhash
-
-    return xxhash.xxh32_intdigest(text) & 0xFFFF
-
-
 def make_slice(ids: list[int], texts: list[bytes]) -> Slice:
     import xxhash
 
@@ -63,7 +57,7 @@ def make_slice(ids: list[int], texts: list[bytes]) -> Slice:
     known = np.array([digest(w) for w in codes.dictionary.to_pylist()], np.uint64)
     words = known[codes.indices.to_numpy()] if len(codes) else np.zeros(0, np.uint64)
     starts = np.cumsum([0, *map(len, lists)])
-    return Slice(np.array(ids, np.int64), starts, np.array([text_check(t) for t in texts], np.uint64), words)
+    return Slice(np.array(ids, np.int64), starts, [text_code(t) for t in texts], words)
 
 
 def rolling(words: np.ndarray, size: int, base: np.uint64) -> np.ndarray:
@@ -130,7 +124,7 @@ def _window_rows(part: pa.RecordBatch, bits: int, field: np.ndarray) -> Iterator
     check = rolling(made.words, WINDOW, _BASES[1])[at] >> np.uint64(48)
     order = np.argsort(hashes, kind="stable")
     hashes, check, at = hashes[order], check[order], at[order]
-    about = [pack_signed(made.ids), pack(np.diff(made.starts).astype(np.uint64)), pack(made.check)]
+    about = [pack_signed(made.ids), pack(np.diff(made.starts).astype(np.uint64)), b"".join(made.codes)]
     name = hashlib.md5(b"".join(about) + made.words.tobytes()).digest()
     yield int.from_bytes(name[:4], "little") >> (32 - bits), name, about
     ids = made.ids[made.documents()[at]]
@@ -174,7 +168,7 @@ def _spans(table: pa.Table, window: int) -> pa.Table:
     """Removed word ranges of the documents of one slice."""
     bodies = table.column("body").to_pylist()
     # Slices with the same rows have the same name, documents and places.
-    ids, sizes, check = next((unpack_signed(b[0]), unpack(b[1]).view(np.int64), unpack(b[2])) for b in bodies if len(b) == 3)
+    ids, sizes, codes = next((unpack_signed(b[0]), unpack(b[1]).view(np.int64), b[2]) for b in bodies if len(b) == 3)
     ends = np.cumsum(sizes)
     at = np.unique(np.concatenate([np.zeros(0, np.uint64), *(unpack_sorted(b[0]) for b in bodies if len(b) == 1)]).view(np.int64))
     document = np.searchsorted(ends, at, "right")
@@ -184,8 +178,8 @@ def _spans(table: pa.Table, window: int) -> pa.Table:
     flat = np.stack([at[head], at[tail] + window], 1) - (ends - sizes)[own][:, None]
     first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]][:len(own)])
     bounds = np.r_[first, len(own)]
-    return pa.table({"doc_id": pa.array(ids[own[first]]), "n": pa.array(sizes[own[first]]),
-                     "code": pa.array(check[own[first]].view(np.int64)),
+    return pa.table({"doc_id": pa.array(ids[own[first]]),
+                     "code": pa.array([codes[16 * k:16 * k + 16] for k in own[first].tolist()], pa.binary()),
                      "spans": pa.array([flat[a:b].ravel().tolist() for a, b in zip(bounds, bounds[1:])], pa.list_(pa.int64()))})
 
 
@@ -196,9 +190,9 @@ def _emit(batches, work, schema: pa.Schema):
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """``doc_id, n, code, spans`` of the documents with words that an earlier one has.
+    """``doc_id, code, spans`` of the documents with words that an earlier one has.
 
-    ``n`` and ``code`` (word count and 16 bits of the text) tell rows with one ``doc_id`` apart.
+    ``code`` (128 bits of the text) tells rows with one ``doc_id`` apart; equal rows have equal spans.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
@@ -214,7 +208,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     windows = rows.mapInArrow(lambda b: _emit(b, lambda p: _window_rows(p, bits, sent.value), second),
                               "rng int, slice binary, body array<binary>")
     later = windows.groupBy("rng").applyInArrow(_later_windows, "slice binary, body array<binary>")
-    return later.groupBy("slice").applyInArrow(lambda t: _spans(t, WINDOW), "doc_id long, n long, code long, spans array<long>")
+    return later.groupBy("slice").applyInArrow(lambda t: _spans(t, WINDOW), "doc_id long, code binary, spans array<long>")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -226,16 +220,17 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Repeated rows give repeated rows; empty tables give empty ones; other columns are not read.
     Hashes have 80 bits where they decide, and 40 where they only pick candidates.
     """
-    found = repeated_spans(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("n", "code", "spans")).alias("_found"))
-    rows = narrow(docs, "doc_id", "text")
-    joined = rows.join(found, rows["doc_id"].cast("long") == found["_id"], "left").select("doc_id", "text", "_found")
+    found = (repeated_spans(docs).groupBy(F.col("doc_id").alias("_id"), F.col("code").alias("_code"))
+             .agg(F.first("spans").alias("_spans")))
+    rows = docs.select("doc_id", "text", F.col("doc_id").cast("long").alias("_own"), text_code_column(F.col("text")).alias("_text_code"))
+    joined = (rows.join(found, (F.col("_own") == F.col("_id")) & (F.col("_text_code") == F.col("_code")), "left")
+              .select("doc_id", "text", "_spans"))
 
     def work(batch):
         n_words, n_removed, kept_text, kept_hash = [], [], [], []
-        for text, options in zip(bytes_of(batch.column(1)), batch.column(2).to_pylist()):
+        for text, spans in zip(bytes_of(batch.column(1)), batch.column(2).to_pylist()):
             words = text.split()
-            code = text_check(text) if options else 0
-            spans = next((o["spans"] for o in options or [] if (o["n"], o["code"]) == (len(words), code)), [])
+            spans = spans or []
             kept, last = [], 0
             for a, b in zip(spans[::2], spans[1::2]):
                 kept += words[last:a]

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import sys
 import types
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch that a task function holds as Python objects at a time.
@@ -65,6 +66,16 @@ def texts_of(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+def text_code(text: bytes) -> bytes:
+    """128 bits that stand for a text, to tell rows with one id (or none) apart."""
+    return hashlib.sha256(text).digest()[:16]
+
+
+def text_code_column(text: Column) -> Column:
+    """``text_code`` of a column, null as the empty text."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32))
+
+
 def bytes_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column without decoding, null as the empty text."""
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]

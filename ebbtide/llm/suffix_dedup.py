@@ -22,8 +22,7 @@ from ebbtide.llm import blobs
 from ebbtide.llm.blobs import (
     ANCHOR_BITS, byte_slices, mix, pack, pack_signed, pack_sorted, range_bits, unpack, unpack_signed, unpack_sorted,
 )
-from ebbtide.llm.block_dedup import text_check
-from ebbtide.llm.common import bytes_of, id_type, map_rows
+from ebbtide.llm.common import bytes_of, id_type, map_rows, text_code, text_code_column
 
 LENGTH, ANCHOR = 200, 48
 #: Text bytes of a slice (a longer text is one), of a hash range, and of one suffix array.
@@ -295,7 +294,7 @@ def _piece_rows(part: pa.RecordBatch, bits: int, field: np.ndarray, common: np.n
     anchors = np.array([h for h, _ in pieces], np.uint64)
     ids = np.array(part.column(0).to_pylist(), np.int64)
     about = [pack_signed(ids), pack(np.array([len(t) for t in texts], np.uint64)),
-             pack(np.array([text_check(t) for t in texts], np.uint64))]
+             b"".join(text_code(t) for t in texts)]
     name = hashlib.md5(b"".join(about) + hashlib.md5(joined).digest()).digest()
     yield int.from_bytes(name[:4], "little") >> (32 - bits), name, about
     packer = zstandard.ZstdCompressor(level=3)
@@ -377,7 +376,7 @@ def _spans(table: pa.Table) -> pa.Table:
     """Removed byte ranges of the documents of one slice."""
     bodies = table.column("body").to_pylist()
     # Slices with the same rows have the same name, documents and runs.
-    ids, size, check = next((unpack_signed(b[0]), unpack(b[1]).view(np.int64), unpack(b[2])) for b in bodies if len(b) == 3)
+    ids, size, codes = next((unpack_signed(b[0]), unpack(b[1]).view(np.int64), b[2]) for b in bodies if len(b) == 3)
     runs = [b for b in bodies if len(b) == 2]
     stop = np.cumsum(size)
     start = np.concatenate([np.zeros(0, np.uint64), *(unpack_sorted(b[0]) for b in runs)]).view(np.int64)
@@ -392,8 +391,8 @@ def _spans(table: pa.Table) -> pa.Table:
     flat = np.stack([start[head], reach[tail]], 1) - (stop - size)[own][:, None]
     first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]][:len(own)])
     bounds = np.r_[first, len(own)]
-    return pa.table({"doc_id": pa.array(ids[own[first]]), "n": pa.array(size[own[first]]),
-                     "code": pa.array(check[own[first]].view(np.int64)),
+    return pa.table({"doc_id": pa.array(ids[own[first]]),
+                     "code": pa.array([codes[16 * k:16 * k + 16] for k in own[first].tolist()], pa.binary()),
                      "spans": pa.array([flat[a:b].ravel().tolist() for a, b in zip(bounds, bounds[1:])], pa.list_(pa.int64()))})
 
 
@@ -404,9 +403,9 @@ def _emit(batches, work, schema: pa.Schema):
 
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
-    """``key, n, code, spans`` of the texts of ``(key, text)`` with repeated strings.
+    """``key, code, spans`` of the texts of ``(key, text)`` with repeated strings.
 
-    ``n`` and ``code`` (bytes and 16 bits of the text) tell rows with one key apart.
+    ``code`` (128 bits of the text) tells rows with one key apart; equal texts have equal spans.
     """
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = range_bits(total, RANGE_BYTES)
@@ -423,22 +422,25 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     # A fixed number of partitions: the compressed sizes say little about the work in a range.
     dealt = pieces.repartition(min(1 << bits, MOST_TASKS), "rng")
     runs = dealt.groupBy("rng").applyInArrow(_repeated_pieces, "slice binary, body array<binary>")
-    return runs.groupBy("slice").applyInArrow(_spans, "doc_id long, n long, code long, spans array<long>")
+    return runs.groupBy("slice").applyInArrow(_spans, "doc_id long, code binary, spans array<long>")
 
 
 def _with_spans(docs: DataFrame, *columns) -> DataFrame:
-    """The rows with ``_text`` and the ranges found for their key."""
+    """The rows with ``_text`` and the ranges found for their key and text.
+
+    Rows without an id share a key, but are joined, and dealt out, by their texts.
+    """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62)))
     found = (repeated_spans(docs.select(key.alias("doc_id"), "text"))
-             .groupBy(F.col("doc_id").alias("_key")).agg(F.collect_set(F.struct("n", "code", "spans")).alias("_found")))
-    rows = docs.select(*columns, F.col("text").alias("_text"), key.alias("_own"))
-    return rows.join(found, F.col("_own") == F.col("_key"), "left").drop("_key", "_own")
+             .groupBy(F.col("doc_id").alias("_key"), F.col("code").alias("_code")).agg(F.first("spans").alias("_found")))
+    rows = docs.select(*columns, F.col("text").alias("_text"), key.alias("_own"), text_code_column(F.col("text")).alias("_text_code"))
+    same = (F.col("_own") == F.col("_key")) & (F.col("_text_code") == F.col("_code"))
+    return rows.join(found, same, "left").drop("_key", "_own", "_code", "_text_code")
 
 
-def _cut(text: bytes, options: list[dict] | None) -> tuple[bytes, int]:
+def _cut(text: bytes, spans: list[int] | None) -> tuple[bytes, int]:
     """The text without its repeated ranges, and their number."""
-    code = text_check(text) if options else 0
-    spans = next((o["spans"] for o in options or [] if (o["n"], o["code"]) == (len(text), code)), [])
+    spans = spans or []
     edges = [0, *spans, len(text)]
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])), len(spans) // 2
 
@@ -452,9 +454,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     def work(batch):
         out = [[], [], [], [], []]
-        for text, options in zip(bytes_of(batch.column(1)), batch.column(2).to_pylist()):
-            kept, spans = _cut(text, options)
-            for column, v in zip(out, (len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept)):
+        for text, spans in zip(bytes_of(batch.column(1)), batch.column(2).to_pylist()):
+            kept, n = _cut(text, spans)
+            for column, v in zip(out, (len(text), len(text) - len(kept), n, hashlib.sha256(kept).hexdigest(), kept)):
                 column.append(v)
         return [batch.column(0), *out]
 
@@ -473,8 +475,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     frame = _with_spans(docs, row).select("_row", "_text", "_found")
 
     def work(batch):
-        kept = [_cut(t or b"", o)[0].decode(errors="ignore") if t is not None else None
-                for t, o in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist())]
+        kept = [_cut(t or b"", s)[0].decode(errors="ignore") if t is not None else None
+                for t, s in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist())]
         return [batch.column(0), kept]
 
     done = map_rows(frame, f"_row {frame.schema['_row'].dataType.simpleString()}, _kept string", work)

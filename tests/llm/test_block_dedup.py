@@ -14,6 +14,18 @@ from ebbtide.llm.block_dedup import remove_repeats
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+def test_rows_with_one_id_are_told_apart(make_docs):
+    import xxhash
+
+    draw = random.Random(14)
+    passage, clean = (" ".join(f"{c}{draw.randrange(10**6)}" for _ in range(20)) for c in "pc")
+    bits = xxhash.xxh32_intdigest((passage + " 0000000").encode()) & 0xFFFF
+    other = next(t for i in range(10**7) if xxhash.xxh32_intdigest((t := f"{clean} {i:07d}").encode()) & 0xFFFF == bits)
+    rows = [(7, passage + " 0000000"), (1, passage), (7, other), (7, passage + " 0000000")]
+    got = sorted((r.doc_id, r.n_removed, r.kept_text) for r in remove_repeats(make_docs(rows)).collect())
+    assert got == [(1, 0, passage), (7, 0, other), (7, 20, "0000000"), (7, 20, "0000000")]
+
+
 def plain(rows):
     least, out = {}, []
     for d, text in rows:

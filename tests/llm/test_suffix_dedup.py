@@ -92,6 +92,22 @@ def test_repeats_beyond_16_mib(make_docs):
     assert got == {1: (len(filler) + 2150, 2000, 1), 2: (2150, 2000, 1)}
 
 
+@pytest.mark.parametrize("d", [None, 7])
+def test_rows_with_one_key_are_told_apart(make_docs, d):
+    import xxhash
+
+    draw = random.Random(13)
+    passage, clean = ("".join(draw.choice("abcdefgh") for _ in range(300)) for _ in range(2))
+    # Of many texts of one length some agree in the 16 bits of any short check.
+    bits = xxhash.xxh32_intdigest((passage + "0000000").encode()) & 0xFFFF
+    other = next(t for i in range(10**7) if xxhash.xxh32_intdigest((t := f"{clean}{i:07d}").encode()) & 0xFFFF == bits)
+    rows = [(d, passage + "0000000"), (1, passage), (d, other)]
+    rows += [(d, "".join(draw.choice("stuvwxyz") for _ in range(307))) for _ in range(300)]
+    docs = make_docs(rows)
+    assert result(remove_repeats(docs)) == plain(rows)
+    assert [r.text for r in without_repeats(docs).collect()].count(other) == 1
+
+
 def test_given_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert result(remove_repeats(docs)) == plain([(r.doc_id, r.text) for r in docs.collect()])
