@@ -13,6 +13,7 @@ import sys
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -159,22 +160,38 @@ def predict(texts: list[str], model: Model) -> tuple[list[str], list[float]]:
             [float(s) if ok else 0.0 for s, ok in zip(share, letters.tolist())])
 
 
+def _unseen(batches):
+    """Of the rows with one ``lang`` and ``h`` the first that the task sees."""
+    seen: set[tuple[str, int]] = set()
+    for batch in batches:
+        new = []
+        for key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            new.append(key not in seen)
+            seen.add(key)
+        yield batch.filter(pa.array(new, pa.bool_()))
+
+
 def learn(docs: DataFrame, where: str, symbols: int = SAMPLE_SYMBOLS, rows: int = SAMPLE_ROWS) -> Model:
     """Automata of a bounded sample of the labelled rows that meet ``where`` (SQL).
 
     Per language ``rows`` distinct texts are picked by a hash of the text, and joined until
-    there are ``symbols`` letters and gaps.  The rows are counted first, so that only about four
-    times the rows wanted are gathered, whatever the size of a language or of a group of copies.
+    there are ``symbols`` letters and gaps.  The distinct texts are counted first, so that only
+    about four times the texts wanted are gathered, whatever the size of a language or of a group
+    of copies; a language with fewer distinct texts than wanted has all of them in its sample.
     """
     labelled = docs.where(where).where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("text").alias("h"))
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = (labelled.groupBy("lang").agg(F.count("*").alias("count"), F.approx_count_distinct("h").alias("texts"))
+              .orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect())
     if not counts:
         return Model([], None, [], [])
-    # About four times the rows wanted pass the hash threshold, before anything is shuffled.
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, 4.0 * rows / r["count"]) * (1 << 30)))])
-    near = (labelled.where(F.pmod(F.col("h"), F.lit(1 << 30)) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0)))
-            .dropDuplicates(["lang", "h"]))
-    picked = near.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct("h", F.substring("text", 1, 10 * symbols).alias("text")))), 1, rows).alias("texts"))
+    # About four times the texts wanted pass the hash threshold, before anything is shuffled.  The
+    # least are picked, so the estimate (5 %) does not matter for the result.
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, 4.0 * rows / max(r["texts"], 1)) * (1 << 30)))])
+    low = F.pmod(F.col("h"), F.lit(1 << 30))
+    near = (labelled.where(low < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0)))
+            .select("lang", "h", F.substring("text", 1, 10 * symbols).alias("text")))
+    near = near.mapInArrow(_unseen, near.schema).dropDuplicates(["lang", "h"])
+    picked = near.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct(low.alias("low"), "h", "text"))), 1, rows).alias("texts"))
     samples = {r.lang: [t.text for t in r.texts] for r in picked.collect()}
     letters, kept = letter_table(), {}
     frequency: dict[int, int] = {}

@@ -50,6 +50,17 @@ def test_held_out_accuracy(spark, sf_dir):
     assert all(0 <= r.score <= 1 for r in out) and {r.lang_pred for r in out} <= {*model.languages, "und"}
 
 
+def test_copies_do_not_thin_the_sample(make_docs):
+    few = [f"{a} und {b} schlafen auf dem sofa" for a, b in (("der hund", "die katze"), ("das kind", "der vogel"), ("die maus", "das pferd"))]
+    english = [(10_000 + i, f"the cat number {chr(97 + i)} sat on the mat", "en") for i in range(20)]
+    rows = [(i, few[i % 3], "de") for i in range(3000)] + english
+    model = learn(make_docs(rows), "true", symbols=500, rows=3)
+    once = learn(make_docs(rows[:3] + english), "true", symbols=500, rows=3)
+    assert model.languages == once.languages == ["de", "en"] and model.sizes == once.sizes
+    assert model.sizes[0] == sum(len(t) + 1 for t in few)
+    assert all(np.array_equal(a, b) for a, b in zip(model.tables, once.tables))
+
+
 def test_edges(make_docs):
     rows = [(i, "the cat sat on the mat and the dog ran", "en") for i in range(20)]
     rows += [(100 + i, "der hund und die katze schlafen auf dem sofa", "de") for i in range(20)]
