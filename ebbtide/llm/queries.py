@@ -14,6 +14,7 @@ from ebbtide.llm.decontaminate import contamination
 from ebbtide.llm.host_rules import apply_rules
 from ebbtide.llm.language import identify, learn
 from ebbtide.llm.oracles import ORACLES  # noqa: F401  (the contract reads both from here)
+from ebbtide.llm.packing import pack
 from ebbtide.llm.quality_model import score_quality
 from ebbtide.llm.simhash import near_duplicates
 from ebbtide.llm.token_counts import count_tokens
@@ -73,6 +74,10 @@ def op10_block_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_token_files": op2_token_files,
@@ -84,4 +89,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_host_rules": op8_host_rules,
     "op9_token_counts": op9_token_counts,
     "op10_block_dedup": op10_block_dedup,
+    "op12_packing": op12_packing,
 }

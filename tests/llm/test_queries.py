@@ -16,6 +16,7 @@ COLUMNS = {
     8: "doc_id n_words:bigint word_chars:bigint n_symbols:bigint n_dup_lines:bigint n_repeat_words:bigint base_failed:boolean kept:boolean",
     9: "doc_id n_bytes:bigint n_tokens:bigint over_limit:boolean",
     10: "doc_id n_words:bigint n_removed:bigint kept_sha256:string",
+    12: "doc_id piece:int start:bigint length:bigint ids_crc32:bigint sequence_id:bigint offset:bigint",
 }
 
 
@@ -26,7 +27,10 @@ def test_columns_and_rows(key, spark, sf_dir):
     for column in COLUMNS[int(key[2:].split("_")[0])].split():
         name, _, kind = column.partition(":")
         assert kinds[name] == (kind or "bigint")
-    ids = [r.doc_id for r in frame.select("doc_id").collect()]
+    if key == "op11_spelling":
+        return
+    rows = frame.where("piece = 0") if key == "op12_packing" else frame
+    ids = [r.doc_id for r in rows.select("doc_id").collect()]
     given = [r.doc_id for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect()]
     assert sorted(ids) == sorted(given)
 
