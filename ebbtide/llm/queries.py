@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbtide.llm import block_dedup, suffix_dedup
+from ebbtide.llm.alignment import align_tokenizers
 from ebbtide.llm.bpe import encode_decode
 from ebbtide.llm.common import table
 from ebbtide.llm.decontaminate import contamination
@@ -21,10 +22,10 @@ from ebbtide.llm.token_counts import count_tokens
 from ebbtide.llm.token_files import token_file_digests
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +79,10 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_token_files": op2_token_files,
@@ -90,4 +95,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_block_dedup": op10_block_dedup,
     "op12_packing": op12_packing,
+    "op13_alignment": op13_alignment,
 }

@@ -51,7 +51,7 @@ class WordTable:
         self.clear()
 
     def clear(self) -> None:
-        self.known = pa.array([], pa.large_string())
+        self.known = pa.array([""], pa.large_string())  # the empty word is irregular in every table
 
     def size(self) -> int:
         return self.known.nbytes
@@ -135,7 +135,7 @@ class IdTable(WordTable):
     def clear(self) -> None:
         super().clear()
         self.ids = np.zeros(0, np.uint32)
-        self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.starts, self.lengths = np.zeros(1, np.int64), np.full(1, -1, np.int64)
 
     def size(self) -> int:
         return self.known.nbytes + self.ids.nbytes + self.starts.nbytes + self.lengths.nbytes
@@ -158,8 +158,7 @@ class IdTable(WordTable):
         if not len(words):
             return self.ids[:0], np.zeros(1, np.int64)
         at = self.numbers(words)
-        lengths = np.where(at >= 0, self.lengths[at], -1) if len(self.lengths) else np.full(len(at), -1)
-        starts = self.starts[at] if len(self.starts) else np.zeros(len(at), np.int64)
+        lengths, starts = np.where(at >= 0, self.lengths[at], -1), self.starts[at]
         heads = first[:-1]
         odd = lengths < 0
         odd[heads] = False
