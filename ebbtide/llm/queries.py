@@ -18,6 +18,7 @@ from ebbtide.llm.oracles import ORACLES  # noqa: F401  (the contract reads both
 from ebbtide.llm.packing import pack
 from ebbtide.llm.quality_model import score_quality
 from ebbtide.llm.simhash import near_duplicates
+from ebbtide.llm.spelling import spelling_variants
 from ebbtide.llm.token_counts import count_tokens
 from ebbtide.llm.token_files import token_file_digests
 
@@ -75,6 +76,10 @@ def op10_block_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
 
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_host_rules": op8_host_rules,
     "op9_token_counts": op9_token_counts,
     "op10_block_dedup": op10_block_dedup,
+    "op11_spelling": op11_spelling,
     "op12_packing": op12_packing,
     "op13_alignment": op13_alignment,
 }

@@ -16,6 +16,7 @@ COLUMNS = {
     8: "doc_id n_words:bigint word_chars:bigint n_symbols:bigint n_dup_lines:bigint n_repeat_words:bigint base_failed:boolean kept:boolean",
     9: "doc_id n_bytes:bigint n_tokens:bigint over_limit:boolean",
     10: "doc_id n_words:bigint n_removed:bigint kept_sha256:string",
+    11: "word:string form:string root:string n:bigint n_near:bigint form_n:bigint",
     12: "doc_id piece:int start:bigint length:bigint ids_crc32:bigint sequence_id:bigint offset:bigint",
     13: "doc_id n_a:bigint n_b:bigint n_groups:bigint n_links:bigint n_best:bigint count_sum:bigint groups_sha256:string",
 }
