@@ -17,7 +17,7 @@ from ebbtide.llm.common import worker_store
 from ebbtide.llm.encoder import Encoder
 
 #: Bytes that a table keeps, and the longest word (in bytes) that it takes.
-KEPT_BYTES, KEPT_WORD = 160 << 20, 96
+KEPT_BYTES, KEPT_WORD = 80 << 20, 96
 #: Text bytes of one lookup.
 SLICE_BYTES = 8 << 20
 #: Pre-tokens that stand alone whatever surrounds them: letters, then punctuation (no apostrophe,
@@ -74,8 +74,10 @@ class WordTable:
             self.known = pa.concat_arrays([self.known, new])
             found = np.array(pc.fill_null(at, -1))
             found[np.asarray(at.is_null()) & np.asarray(fits)] = np.asarray(pc.index_in(lacking, value_set=new)) + base
-            return found
-        return np.asarray(pc.fill_null(at, -1))
+        else:
+            found = np.asarray(pc.fill_null(at, -1))
+        pa.default_memory_pool().release_unused()  # the lookup's hash table is as large as the known words
+        return found
 
 
 class SpacedIds:
