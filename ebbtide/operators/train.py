@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.operators.assemble import FEATURES
 from ebbtide.operators.boosting import HistBooster, binned_frame, booster_model, fit_many, staged_search
+from ebbtide.operators.forest import DeepForest
 from ebbtide.operators.evaluate import binary_scores, hard_vote, roc_auc
 from ebbtide.schema import LABEL
 from ebbtide.sources.staging import shared_dir, spread
@@ -53,6 +54,11 @@ def random_forest(s: Settings = Settings()) -> Estimator:
         minInstancesPerNode=1, seed=SEED, cacheNodeIds=True)
 
 
+def deep_forest(s: Settings = Settings()) -> Estimator:
+    """Forest whose trees grow until their leaves are pure."""
+    return DeepForest(numTrees=s.trees, seed=SEED)
+
+
 def gradient_boosting(s: Settings = Settings(), depth: int = 3, step: float = 0.1, subsample: float = 1.0) -> Estimator:
     return GBTClassifier(
         labelCol=LABEL, featuresCol=FEATURES, maxIter=s.iterations, maxDepth=depth, stepSize=step,
