@@ -38,7 +38,7 @@ RANGE_BYTES, FAN_IN = 32 << 10, 16
 #: A range may end inside a piece of at most this many bytes; a longer piece goes to one range.
 SHARED_PIECE = 4 << 10
 #: Bytes of word results that a worker keeps.
-KEPT_BYTES = 128 << 20
+KEPT_BYTES = 80 << 20
 
 
 def byte_level_bytes() -> dict[str, int]:

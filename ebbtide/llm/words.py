@@ -18,8 +18,8 @@ from ebbtide.llm.encoder import Encoder
 
 #: Bytes that a table keeps, and the longest word (in bytes) that it takes.
 KEPT_BYTES, KEPT_WORD = 80 << 20, 96
-#: Text bytes of one lookup.
-SLICE_BYTES = 8 << 20
+#: Text bytes of one lookup, and new words whose results are Python objects at a time.
+SLICE_BYTES, ADDED_AT_ONCE = 8 << 20, 20_000
 #: Pre-tokens that stand alone whatever surrounds them: letters, then punctuation (no apostrophe,
 #: which may begin a contraction), and the same again after a line feed.
 _LETTERS, _MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", r"[!-&(-/:-@\[-`{-~]*"
@@ -69,7 +69,8 @@ class WordTable:
                 at = pa.nulls(len(words), pa.int32())
             lacking = words.filter(pc.and_(at.is_null(), fits))
             new = lacking.unique()
-            self.add(new.to_pylist())
+            for start in range(0, len(new), ADDED_AT_ONCE):  # lists of ids are many times the kept arrays
+                self.add(new.slice(start, ADDED_AT_ONCE).to_pylist())
             base = len(self.known)
             self.known = pa.concat_arrays([self.known, new])
             found = np.array(pc.fill_null(at, -1))
