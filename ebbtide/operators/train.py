@@ -73,7 +73,7 @@ def candidates(rows: int, s: Settings = Settings()) -> dict[str, Estimator]:
     """The four compared classifiers: a linear one, a forest, and boosting of first and second order."""
     return {
         "Logistic Regression": logistic_regression(rows, s),
-        "Random Forest": random_forest(s),
+        "Random Forest": deep_forest(s),
         "Gradient Boosting": gradient_boosting(s),
         "XGBoost": second_order_boosting(s),
     }

@@ -20,7 +20,7 @@ from ebbtide.functions.features import ENGINEERED_COLUMNS, engineer_features
 from ebbtide.functions.text import literal, name
 from ebbtide.operators import (
     clean, cluster, correlation, encode, evaluate, impute, neighbours, pca, profile, report,
-    scale, smote, split, train, validate,
+    scale, silhouette, smote, split, train, validate,
 )
 from ebbtide.operators.align import align_features
 from ebbtide.operators.assemble import assemble
@@ -70,14 +70,14 @@ def _given(spark: SparkSession, sf_dir: str) -> DataFrame:
     return given_scores(customer_table(spark, sf_dir))
 
 
-_prepared: dict[tuple[str, str], workflow.Prepared] = {}
+_prepared: dict[tuple[str, str, int], workflow.Prepared] = {}
 
 
-def prepared(spark: SparkSession, sf_dir: str) -> workflow.Prepared:
-    """Feature table of the training queries, written once per application and folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def prepared(spark: SparkSession, sf_dir: str, folds: int = FOLDS) -> workflow.Prepared:
+    """Feature table of the training queries, written once per application, folder and folds."""
+    key = (spark.sparkContext.applicationId, sf_dir, folds)
     if key not in _prepared:
-        built = workflow.prepare(customer_table(spark, sf_dir), folds=FOLDS)
+        built = workflow.prepare(customer_table(spark, sf_dir), folds=folds)
         _prepared[key] = built._replace(table=stage(spread(built.table), "features"))
     return _prepared[key]
 
@@ -304,13 +304,22 @@ def pca_variance(spark, d):
 
 def kmeans_sweep(spark, d):
     vectors, _ = _explored(spark, d)
-    result = cluster.kmeans_sweep(vectors, starts=1, max_iter=10)
+    result = cluster.kmeans_sweep(vectors)
     return result.table.withColumn("best", F.col("k") == result.best_k)
 
 
 def cluster_sizes(spark, d):
     vectors, _ = _explored(spark, d)
-    return cluster.cluster_sizes(cluster.assign_clusters(vectors, 4, starts=1))
+    return cluster.cluster_sizes(cluster.assign_clusters(vectors, 4))
+
+
+def silhouette_scores(spark, d):
+    """The silhouettes on their own, of three given assignments, checked by SQL."""
+    features = F.array(*[F.col(c).cast("double") for c in ("Recency", "UniqueProducts", "Frequency")])
+    rows = customer_table(spark, d).select(
+        features.alias("features"), F.least(F.floor(F.col("Recency") / 150), F.lit(4)).cast("int").alias("by_recency"),
+        (F.col("Frequency") > 5).cast("int").alias("by_frequency"), (F.col(ID) % 3).cast("int").alias("by_id"))
+    return _rounded(silhouette.silhouettes(rows, ["by_recency", "by_frequency", "by_id"]))
 
 
 def model_comparison(spark, d):
@@ -326,11 +335,29 @@ def grid_search(spark, d):
     return train.grid_search(prepared(spark, d).vectors("train"), grid, FOLDS).table
 
 
+def full_grid_search(spark, d):
+    """All 36 settings in five folds: 18 shared fits a fold."""
+    return train.grid_search(prepared(spark, d, 5).vectors("train"), train.FULL_GRID, 5).table
+
+
+def second_order_boosting(spark, d):
+    """The second-order booster at its full size, scored on the test rows."""
+    ready = prepared(spark, d)
+    model = train.second_order_boosting().fit(ready.vectors("train"))
+    return train.predict(model, ready.vectors("test")).select(ID, LABEL, "prediction", "probability")
+
+
+def deep_forest(spark, d):
+    """A hundred fully grown trees, scored on the test rows."""
+    ready = prepared(spark, d)
+    model = train.deep_forest().fit(ready.vectors("train"))
+    return train.predict(model, ready.vectors("test")).select(ID, LABEL, "prediction", "probability")
+
+
 def voting_classifier(spark, d):
     ready = prepared(spark, d)
     members = [
-        train.random_forest(SMALL), train.gradient_boosting(SMALL),
-        train.gradient_boosting(SMALL, depth=4, step=0.3)]
+        train.deep_forest(SMALL), train.gradient_boosting(SMALL), train.second_order_boosting(SMALL, depth=4)]
     voting = train.fit_voting(ready.vectors("train"), members, FOLDS)
     return train.vote_with(voting.models, ready.vectors("test")).select(ID, LABEL, "voting_prediction")
 
@@ -339,7 +366,7 @@ def rf_smote(spark, d):
     vectors, _ = _explored(spark, d)
     rows = split.stratified_split(vectors)
     balanced = stage(smote.smote(rows.filter("split = 'train'")), "balanced")
-    model = train.random_forest(SMALL).fit(balanced)
+    model = train.deep_forest().fit(balanced)
     scored = train.predict(model, rows.filter("split = 'test'"))
     return evaluate.classification_report(scored, LABEL, "prediction")
 
@@ -480,8 +507,12 @@ QUERIES: dict[str, Query] = {
     "pca_variance": pca_variance,
     "kmeans_sweep": kmeans_sweep,
     "cluster_sizes": cluster_sizes,
+    "silhouettes": silhouette_scores,
     "model_comparison": model_comparison,
     "grid_search": grid_search,
+    "full_grid_search": full_grid_search,
+    "second_order_boosting": second_order_boosting,
+    "deep_forest": deep_forest,
     "vote": lambda s, d: evaluate.hard_vote(_given(s, d), ["v1", "v2", "v3"]).select(ID, "vote"),
     "voting_classifier": voting_classifier,
     "rf_smote": rf_smote,

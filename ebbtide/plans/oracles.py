@@ -372,6 +372,22 @@ ORACLES: dict[str, str] = {
         "FROM pts p JOIN pts q ON p.id <> q.id) GROUP BY a",
         ", pts AS (SELECT min(CustomerID) AS id, cast(Recency AS DOUBLE) AS x, "
         "cast(UniqueProducts AS DOUBLE) AS y FROM customers WHERE Churn = 1 GROUP BY x, y)"),
+    "silhouettes": _customers(
+        "SELECT assignment, round(avg(CASE WHEN own_n > 1 AND b IS NOT NULL AND greatest(a, b) > 0 "
+        "THEN (b - a) / greatest(a, b) ELSE 0 END), 6) AS silhouette, count(*) AS n FROM ("
+        "SELECT assignment, id, max(own_n) AS own_n, max(CASE WHEN same THEN total / greatest(n - 1, 1) END) AS a, "
+        "min(CASE WHEN NOT same THEN total / n END) AS b FROM ("
+        "SELECT assignment, id, c = label AS same, max(own_n) AS own_n, sum(dist) AS total, count(*) AS n FROM ("
+        "SELECT p.assignment, p.id, p.label, q.label AS c, count(*) FILTER (q.label = p.label) "
+        "OVER (PARTITION BY p.assignment, p.id) AS own_n, "
+        "sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2) AS dist "
+        "FROM pts p JOIN pts q ON p.assignment = q.assignment) GROUP BY assignment, id, label, c) "
+        "GROUP BY assignment, id) GROUP BY assignment",
+        ", raw AS (SELECT CustomerID AS id, cast(Recency AS DOUBLE) AS x, cast(UniqueProducts AS DOUBLE) AS y, "
+        "cast(Frequency AS DOUBLE) AS z, least(Recency // 150, 4) AS l1, CASE WHEN Frequency > 5 THEN 1 ELSE 0 END AS l2, "
+        "CustomerID % 3 AS l3 FROM customers), pts AS ("
+        + " UNION ALL ".join(f"SELECT '{a}' AS assignment, id, x, y, z, {c} AS label FROM raw"
+                             for a, c in (("by_recency", "l1"), ("by_frequency", "l2"), ("by_id", "l3"))) + ")"),
     "model_roundtrip": _customers("SELECT count(*) AS n, 0 AS mismatches FROM customers"),
     "score_batch_counts": _customers(
         f"SELECT count(*) AS total, count(*) FILTER (ok) AS success_count, "

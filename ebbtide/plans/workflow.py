@@ -16,7 +16,7 @@ from ebbtide.operators.scale import fit_scaler, scale
 from ebbtide.operators.score import score_batch
 from ebbtide.operators.split import fold_column, stratified_split
 from ebbtide.operators.train import (
-    Comparison, Settings, candidates, compare_models, fit_voting, gradient_boosting, random_forest,
+    Comparison, Settings, candidates, compare_models, deep_forest, fit_voting, gradient_boosting, second_order_boosting,
 )
 from ebbtide.plans.features import FeatureBuilder, FeatureModel
 from ebbtide.schema import (
@@ -72,8 +72,7 @@ def train(
     if comparison.best is None:
         raise ValueError("no classifier reached a positive F1 score")
     voting = fit_voting(train_rows, [
-        random_forest(settings), gradient_boosting(settings),
-        gradient_boosting(settings, depth=6, step=0.3)], folds)
+        deep_forest(settings), gradient_boosting(settings), second_order_boosting(settings)], folds)
     models = ModelSet(prepared.features, comparison.models[comparison.best], voting.models)
     return Trained(models, comparison)
 
