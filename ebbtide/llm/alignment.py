@@ -35,6 +35,8 @@ from ebbtide.sources.staging import stage
 
 #: Bytes of a range of a long text, and fragments that one step of the tree composes.
 RANGE_BYTES, FAN_IN = 32 << 10, 16
+#: Ranges whose words are looked up together.
+RANGES_AT_ONCE = 128
 #: A range may end inside a piece of at most this many bytes; a longer piece goes to one range.
 SHARED_PIECE = 4 << 10
 #: Bytes of word results that a worker keeps.
@@ -112,9 +114,6 @@ class Tokenizers:
         links = np.searchsorted(self.pairs, a[behind_a - 1].astype(np.int64) * len(self.b_bytes) + b[behind_b - 1])
         return behind_a, behind_b, links.astype("<i4")
 
-    def group_text(self, a: list[int], b: list[int]) -> bytes:
-        return b",".join([self.a_text[i] for i in a]) + b"|" + b",".join([self.b_text[i] for i in b])
-
     def group_texts(self, a: np.ndarray, b: np.ndarray, behind_a: np.ndarray, behind_b: np.ndarray) -> list[bytes]:
         """Texts of the groups that end at the given positions, the first from the start on."""
         x, y = [self.a_text[i] for i in a.tolist()], [self.b_text[i] for i in b.tolist()]
@@ -156,8 +155,13 @@ def _joined(*texts: bytes) -> bytes:
     return b";".join([t for t in texts if t])
 
 
-def compose(t: Tokenizers, f: Fragment, g: Fragment) -> Fragment:
-    """The fragment of two neighbouring ranges."""
+def group_text(a: bytes, b: bytes) -> bytes:
+    """Text of a group from its ids, as fragments hold them."""
+    return b",".join([b"%d" % i for i in _ids(a)]) + b"|" + b",".join([b"%d" % i for i in _ids(b)])
+
+
+def compose(f: Fragment, g: Fragment) -> Fragment:
+    """The fragment of two neighbouring ranges; it needs no tokenizer."""
     if not (f.good and g.good):
         return SPOILT
     a, b, links = f.a + g.a, f.b + g.b, f.links + g.links
@@ -167,7 +171,7 @@ def compose(t: Tokenizers, f: Fragment, g: Fragment) -> Fragment:
     if not g.met:
         return Fragment(True, a, b, True, f.groups, f.prefix_a, f.prefix_b, f.closed,
                         f.suffix_a + g.prefix_a, f.suffix_b + g.prefix_b, links)
-    middle = t.group_text(_ids(f.suffix_a + g.prefix_a), _ids(f.suffix_b + g.prefix_b))
+    middle = group_text(f.suffix_a + g.prefix_a, f.suffix_b + g.prefix_b)
     return Fragment(True, a, b, True, f.groups + 1 + g.groups, f.prefix_a, f.prefix_b,
                     _joined(f.closed, middle, g.closed), g.suffix_a, g.suffix_b, links)
 
@@ -186,11 +190,11 @@ def fragment(t: Tokenizers, a: np.ndarray, b: np.ndarray, low: int, high: int) -
                     a[r:].tobytes(), b[s:].tobytes(), links.tobytes())
 
 
-def finish(t: Tokenizers, f: Fragment) -> tuple[int, int, int, bytes, str]:
+def finish(f: Fragment) -> tuple[int, int, int, bytes, str]:
     """``n_a, n_b, n_groups, links, groups_sha256`` of the fragment of a whole text."""
     if not f.good or not f.met:
         return 0, 0, 0, b"", ""
-    text = _joined(t.group_text(_ids(f.prefix_a), _ids(f.prefix_b)), f.closed)
+    text = _joined(group_text(f.prefix_a, f.prefix_b), f.closed)
     return f.a, f.b, f.groups + 1, f.links, hashlib.sha256(text).hexdigest()
 
 
@@ -292,14 +296,21 @@ class AlignedWords(WordTable):
     def states(self, at: np.ndarray) -> np.ndarray:
         return np.where(at >= 0, self.state[at], -1)
 
-    def tokens(self, segment: str) -> tuple[np.ndarray, np.ndarray, bool]:
-        """Ids of both for a segment that begins with a space, and whether the bytes agree."""
-        at = self.numbers(pa.array(segment[1:].split(" "), pa.large_string()))
-        state = self.states(at)
-        if (state == 1).all():
-            return gather(self.a, self.start_a[at], self.n_a[at]), gather(self.b, self.start_b[at], self.n_b[at]), True
-        (a,), (b,) = self.t.spaced([segment[1:]])
-        return np.array(a, np.uint32), np.array(b, np.uint32), self.t.same_bytes(a, b, segment.encode())
+    def tokens(self, segments: list[str]) -> list[tuple[np.ndarray, np.ndarray, bool]]:
+        """Ids of both for segments that begin with a space, and whether the bytes agree."""
+        words, first = words_of(pa.array([x[1:] for x in segments], pa.large_string()))
+        at = self.numbers(words)
+        plain = np.concatenate([[0], np.cumsum(self.states(at) == 1)])[first]
+        out = []
+        runs = [(gather(values, starts[at], n[at]), np.concatenate([[0], np.cumsum(n[at])])[first])
+                for values, starts, n in ((self.a, self.start_a, self.n_a), (self.b, self.start_b, self.n_b))]
+        for k, segment in enumerate(segments):
+            if plain[k + 1] - plain[k] == first[k + 1] - first[k]:
+                out.append((*(ids[ends[k]:ends[k + 1]] for ids, ends in runs), True))
+                continue
+            (a,), (b,) = self.t.spaced([segment[1:]])
+            out.append((np.array(a, np.uint32), np.array(b, np.uint32), self.t.same_bytes(a, b, segment.encode())))
+        return out
 
 
 def worker_words(byte_level: str, pieces: str) -> AlignedWords:
@@ -332,7 +343,7 @@ def align_texts(table: AlignedWords, column: pa.Array) -> list[tuple[int, int, i
             content = b" " + text.encode()
             good = table.t.same_bytes(a, b, content)
             whole = fragment(table.t, np.array(a, np.uint32), np.array(b, np.uint32), 0, len(content)) if good else SPOILT
-            out.append(finish(table.t, whole))
+            out.append(finish(whole))
         else:
             text = b";".join(map(texts.__getitem__, numbers[edges[k]:edges[k + 1]]))
             out.append((sums["a"][k], sums["b"][k], sums["g"][k], links[ends[k]:ends[k + 1]].tobytes(), hashlib.sha256(text).hexdigest()))
@@ -382,22 +393,22 @@ def _long(docs: DataFrame, byte_level: str, pieces: str, size: int, fan_in: int)
 
     def first_level(batch):
         table, rows = worker_words(byte_level, pieces), []
-        for segment, low, high in zip(*(batch.column(k).to_pylist() for k in (3, 4, 5))):
-            a, b, good = table.tokens(segment.decode())
-            rows.append((1, *astuple(fragment(table.t, a, b, low, high) if good else SPOILT)))
+        for at in range(0, batch.num_rows, RANGES_AT_ONCE):
+            segments, low, high = (c.slice(at, RANGES_AT_ONCE).to_pylist() for c in batch.columns[3:6])
+            for (a, b, good), x, y in zip(table.tokens([x.decode() for x in segments]), low, high):
+                rows.append((1, *astuple(fragment(table.t, a, b, x, y) if good else SPOILT)))
         return [*(batch.column(k) for k in range(3)), *zip(*rows)] if rows else [[]] * 15
 
     level = map_rows(parts.repartition("doc_id", "code", "number"),
                      f"doc_id {kind}, code binary, number long, {_FRAGMENT}", first_level)
 
     def composed(group: pa.Table) -> pa.Table:
-        t = worker_tokenizers(byte_level, pieces)
         rows = sorted(zip(*(group.column(k).to_pylist() for k in range(2, group.num_columns))), key=lambda r: r[0])
         copies = sum(r[1] for r in rows if r[0] == rows[0][0])
         done, last = None, None
         for number, _, *values in rows:
             if number != last:
-                done = Fragment(*values) if done is None else compose(t, done, Fragment(*values))
+                done = Fragment(*values) if done is None else compose(done, Fragment(*values))
                 last = number
         columns = [group.column(0)[0].as_py(), group.column(1)[0].as_py(), rows[0][0] // fan_in, copies, *astuple(done)]
         return pa.table({f.name: pa.array([v], f.type) for f, v in zip(group.schema, columns)}, schema=group.schema)
@@ -408,10 +419,9 @@ def _long(docs: DataFrame, byte_level: str, pieces: str, size: int, fan_in: int)
         width *= fan_in
 
     def end(batch):
-        t = worker_tokenizers(byte_level, pieces)
         rows = []
         for doc_id, copies, *values in zip(*(batch.column(k).to_pylist() for k in (0, *range(3, 15)))):
-            rows += [(doc_id, *finish(t, Fragment(*values)))] * copies
+            rows += [(doc_id, *finish(Fragment(*values)))] * copies
         return list(zip(*rows)) or [[]] * 6
 
     return map_rows(level, f"doc_id {kind}, {_ALIGNED}", end)
