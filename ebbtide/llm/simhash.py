@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import bytes_of, id_type, map_rows, narrow
+from ebbtide.llm.common import bytes_of, id_type, map_rows, narrow, text_code, text_code_column
 from ebbtide.llm.components import components
 from ebbtide.sources.staging import stage
 
@@ -221,7 +221,25 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, most: int = M
 def keep_one(docs: DataFrame, shingle: int = SHINGLE_WORDS, most: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs`` that stand for their component: the least ``doc_id``, all columns.
 
-    Rows without a ``doc_id`` stay.  Of several rows with the kept ``doc_id`` all stay.
+    Rows without a ``doc_id`` stay.  Of several rows with the kept ``doc_id`` all stay.  Where one
+    ``doc_id`` has texts of several components, each text is kept or removed on its own.
     """
-    names = near_duplicates(docs, shingle, most).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(names, "doc_id", "left_anti").select(*docs.columns)
+    named = stage(near_duplicates(docs, shingle, most), "named")
+    stands = F.col("doc_id") == F.col("component_id")
+    ids = named.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_or(stands).alias("some"), F.bool_and(stands).alias("all"))
+    kept = docs.join(ids.where("NOT some").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    mixed = stage(ids.where("some AND NOT all").select("doc_id"), "mixed")
+    if mixed.isEmpty():
+        return kept
+
+    def coded(batch):
+        texts = bytes_of(batch.column(1))
+        fps = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)
+        return [batch.column(0), [text_code(t) for t in texts], fps.tolist()]
+
+    texts = map_rows(narrow(docs.join(mixed, "doc_id", "left_semi"), "doc_id", "text"), f"doc_id {id_type(docs)}, __code binary, fp long", coded)
+    removed = texts.withColumn("fingerprint", F.lpad(F.lower(F.hex("fp")), 16, "0")).join(
+        named.where(~stands).select("doc_id", "fingerprint"), ["doc_id", "fingerprint"], "left_semi").select("doc_id", "__code")
+    several = docs.join(mixed, "doc_id", "left_semi").withColumn("__code", text_code_column(F.col("text")))
+    return kept.join(mixed, "doc_id", "left_anti").select(*docs.columns).unionByName(
+        several.join(removed, ["doc_id", "__code"], "left_anti").select(*docs.columns))

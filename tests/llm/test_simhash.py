@@ -98,3 +98,20 @@ def test_components_of_long_paths(spark):
     edges = [(i, i + 1) for i in range(100)] + [(200, i) for i in range(201, 260)] + [(500, 500)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got[i] for i in range(101)} == {0} and {got[i] for i in range(200, 260)} == {200} and 500 not in got
+
+
+def test_one_id_on_texts_of_several_components(make_docs):
+    """Every component keeps a document, also where its only id stands for another text elsewhere."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (3, a), (3, b), (4, b), (4, c), (4, None), (None, a), (None, c), (3, b), (5, None), (9, c + " tail"), (2, c)]
+    for given in (rows, rows[::-1]):
+        docs = make_docs(given, extra=["fingerprint", "component_id"])
+        kept = sorted(str((r.doc_id, r.text)) for r in keep_one(docs).collect())
+        named = roots([(d, plain(t)) for d, t in given])
+        want = sorted(str((d, t)) for (d, t), root in zip(given, named) if d is None or d == root)
+        assert kept == want and str((3, b)) in kept and str((3, a)) not in kept and str((4, b)) not in kept
+        assert keep_one(docs).columns == docs.columns
+
+
+def test_keep_one_on_empty_tables(make_docs):
+    assert keep_one(make_docs([])).count() == 0
