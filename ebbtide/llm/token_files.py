@@ -24,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import narrow, slices, texts_of
-from ebbtide.llm.encoder import worker_encoder
+from ebbtide.llm.blobs import byte_slices
+from ebbtide.llm.common import narrow
+from ebbtide.llm.words import SLICE_BYTES, worker_ids
 from ebbtide.sources.staging import new_path
 
 # Fixed values of the public zstandard seekable format.
@@ -146,11 +147,10 @@ def _write_partition(batches: Iterable[pa.RecordBatch], folder: str, tokenizer:
     """One file of a sorted partition; yields its manifest row."""
     from pyspark import TaskContext
 
-    encoder = worker_encoder(tokenizer)
-    width = 2 if len(encoder.after_space) <= 1 << 16 else 4
-    end = np.array([end_id], "<u4").tobytes()
+    table = worker_ids(tokenizer)
+    width = 2 if len(table.encoder.after_space) <= 1 << 16 else 4
     writer = sink = None
-    for part in slices(iter(batches)):
+    for part in byte_slices(iter(batches), 1, SLICE_BYTES):
         if not part.num_rows:
             continue
         if writer is None:
@@ -159,8 +159,9 @@ def _write_partition(batches: Iterable[pa.RecordBatch], folder: str, tokenizer:
             name = f"shard-{shard:06d}-{uuid.uuid4().hex}.zst"
             sink = store.open_output_stream(f"{inner}/{name}", compression=None)
             writer = FileWriter(sink, width)
-        for doc_id, ids in zip(part.column(0).to_pylist(), encoder.ids_many(texts_of(part.column(1)))):
-            writer.add(doc_id, np.frombuffer(ids + end, "<u4"))
+        ids, ends = table.encode(part.column(1))
+        for doc_id, a, b in zip(part.column(0).to_pylist(), ends.tolist(), ends[1:].tolist()):
+            writer.add(doc_id, np.append(ids[a:b], np.uint32(end_id)))
     if writer is not None:
         writer.close()
         sink.close()
