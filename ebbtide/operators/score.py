@@ -11,6 +11,7 @@ from ebbtide.functions.risk import (
 from ebbtide.functions.text import literal, name
 from ebbtide.operators.assemble import assemble
 from ebbtide.operators.train import predict, vote_with
+from ebbtide.sources.cells import PROBLEMS, problem_texts
 from ebbtide.sources.models import ModelSet
 
 
@@ -28,8 +29,9 @@ def score_batch(
     A row with a missing feature value fails alone: prediction and probability are -1
     (``variant="api"``: NULL, probabilities rounded to 4 places), the level is Unknown and
     ``error`` names the features.  The vector carries NaN for such a row, so the input is
-    read once instead of being split into good and failed rows.  ``details`` adds the vote;
-    ``texts`` ("service" or "api") adds description and recommendation.
+    read once instead of being split into good and failed rows.  A row whose cells did not all
+    parse (``sources.cells``) fails as well, with column, text and cause in ``error``.
+    ``details`` adds the vote; ``texts`` ("service" or "api") adds description and recommendation.
     """
     keep = list(df.columns)
     names = models.feature_names
@@ -49,6 +51,11 @@ def score_batch(
         scored = models.regressor.transform(scored)
 
     ok = (F.size("__missing") == 0) & ~F.isnan("__main_probability")
+    reasons = F.array(F.when(F.size("__missing") > 0, F.concat(F.lit("missing values: "), F.array_join("__missing", ", "))))
+    if PROBLEMS in keep:
+        unparsed = F.coalesce(F.col(f"__row.{PROBLEMS}"), F.array().cast("array<struct<column:string,text:string,cause:string>>"))
+        ok &= F.size(unparsed) == 0
+        reasons = F.concat(problem_texts(unparsed), reasons)
     failed = F.lit(-1) if variant == "service" else F.lit(None)
     probability = F.col("__main_probability")
     shown = F.round(probability, 4) if variant == "api" else probability
@@ -58,7 +65,7 @@ def score_batch(
         "churn_probability": F.when(ok, shown).otherwise(failed.cast("double")),
         "churn_risk_level": risk_level(level),
         "success": ok,
-        "error": F.when(~ok, F.concat(F.lit("missing values: "), F.array_join("__missing", ", "))),
+        "error": F.when(~ok, F.array_join(F.array_compact(reasons), "; ")),
     }
     if texts:
         out["churn_risk_description"] = risk_description(level, texts)

@@ -32,10 +32,11 @@ from ebbtide.schema import (
     ID, LABEL, NOMINAL_COLUMNS, NUMERIC_COLUMNS, ORDINAL_CODES, ORDINAL_LEVELS, RAW_SCHEMA,
     REQUEST_FIELDS, SENTINELS, string_fields,
 )
+from ebbtide.sources import cells
 from ebbtide.sources import models as model_store
 from ebbtide.sources import tables
 from ebbtide.sources.staging import new_path, spread, stage, stage_once
-from ebbtide.streaming.scoring import score_stream
+from ebbtide.streaming.scoring import read_results, score_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -144,6 +145,33 @@ def model_roundtrip(spark, d):
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("a") != F.col("b")).alias("mismatches"))
 
 
+def export_predictions(spark, d):
+    """Predictions out as CSV and in again."""
+    path = tables.export_predictions(_banded(spark, d), new_path(spark, "predictions"))
+    return tables.read_customers(
+        spark, path, schema=f"{ID} long, churn_prediction int, churn_probability double, churn_risk_level string")
+
+
+def spoilt_lines(customers: DataFrame) -> DataFrame:
+    """Customers as delimited lines, some with a bad cell, a cell too many or three too few."""
+    i = F.col(ID)
+    texts = customers.select(*[F.col(c).cast("string").alias(c) for c in RAW_SCHEMA.names]).withColumns({
+        "Age": F.when(i % 11 == 0, "abc").otherwise(F.col("Age")),
+        "UniqueProducts": F.when(i % 13 == 0, "12.5").otherwise(F.col("UniqueProducts"))})
+    columns, quoted = [F.col(c) for c in RAW_SCHEMA.names], {"escape": '"'}
+    return texts.select(
+        F.when(i % 17 == 0, F.to_csv(F.struct(*columns, F.lit("extra").alias("extra")), quoted))
+        .when(i % 19 == 0, F.to_csv(F.struct(*columns[:-3]), quoted)).otherwise(F.to_csv(F.struct(*columns), quoted)).alias("value"))
+
+
+def malformed_cells(spark, d):
+    """Rows of a file with bad cells: which were scored, and what was wrong with the others."""
+    path = new_path(spark, "spoilt")
+    spoilt_lines(customer_table(spark, d)).write.text(path)
+    scored = score_batch(cells.read_checked(spark, path, RAW_SCHEMA, header=False), _classifier(spark, d))
+    return scored.select(ID, "success", F.array_join(cells.problem_texts(), "; ").alias("problems"))
+
+
 # --- profiling --------------------------------------------------------------------------
 
 def class_distribution_by_split(spark, d):
@@ -432,7 +460,7 @@ def _streamed(spark, d):
         spark, source, RAW_SCHEMA, _classifier(spark, d), target, f"{target}/checkpoint",
         files_per_batch=2)
     query.awaitTermination()
-    return spark.read.parquet(f"{target}/scored"), spark.read.parquet(f"{target}/rejected")
+    return read_results(spark, target, "scored"), read_results(spark, target, "rejected")
 
 
 def stream_scoring(spark, d):
@@ -459,6 +487,8 @@ QUERIES: dict[str, Query] = {
     "roundtrip_processed": roundtrip_processed,
     "train_test_read": train_test_read,
     "model_roundtrip": model_roundtrip,
+    "export_predictions": export_predictions,
+    "malformed_cells": malformed_cells,
     "profile_shape": lambda s, d: profile.profile_shape(customer_table(s, d)),
     "profile_dtypes": lambda s, d: profile.profile_dtypes(customer_table(s, d)),
     "missing_report": lambda s, d: profile.missing_report(customer_table(s, d)),

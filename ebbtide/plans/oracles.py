@@ -372,6 +372,16 @@ ORACLES: dict[str, str] = {
         "FROM pts p JOIN pts q ON p.id <> q.id) GROUP BY a",
         ", pts AS (SELECT min(CustomerID) AS id, cast(Recency AS DOUBLE) AS x, "
         "cast(UniqueProducts AS DOUBLE) AS y FROM customers WHERE Churn = 1 GROUP BY x, y)"),
+    "export_predictions": _customers(
+        f"SELECT CustomerID, y_pred AS churn_prediction, y_score AS churn_probability, {LEVEL} AS churn_risk_level FROM given", GIVEN),
+    "malformed_cells": _customers(
+        f"SELECT CustomerID, ({COMPLETE}) AND CustomerID % 11 <> 0 AND CustomerID % 13 <> 0 AND CustomerID % 17 <> 0 "
+        "AND CustomerID % 19 <> 0 AS success, concat_ws('; ', "
+        f"CASE WHEN CustomerID % 17 = 0 THEN 'too many cells: {len(COLUMNS) + 1} of {len(COLUMNS)}' "
+        f"WHEN CustomerID % 19 = 0 THEN 'too few cells: {len(COLUMNS) - 3} of {len(COLUMNS)}' END, "
+        + ", ".join(f"CASE WHEN CustomerID % {n} = 0 THEN '{c}: {text}' END" for c, n, text in sorted(
+            [("Age", 11, "not a number (abc)"), ("UniqueProducts", 13, "not a whole number (12.5)")], key=lambda x: COLUMNS.index(x[0])))
+        + ") AS problems FROM customers"),
     "silhouettes": _customers(
         "SELECT assignment, round(avg(CASE WHEN own_n > 1 AND b IS NOT NULL AND greatest(a, b) > 0 "
         "THEN (b - a) / greatest(a, b) ELSE 0 END), 6) AS silhouette, count(*) AS n FROM ("

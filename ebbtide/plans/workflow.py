@@ -21,8 +21,9 @@ from ebbtide.operators.train import (
 from ebbtide.plans.features import FeatureBuilder, FeatureModel
 from ebbtide.schema import (
     BATCH_REQUIRED_COLUMNS, DROPPED_CATEGORICALS, DROPPED_COLUMNS_EXPLORE, ID, LABEL,
-    NOMINAL_COLUMNS_DROP_FIRST, numeric_fields, string_fields,
+    NOMINAL_COLUMNS_DROP_FIRST, RAW_SCHEMA, numeric_fields, string_fields,
 )
+from ebbtide.sources.cells import PROBLEMS, read_checked
 from ebbtide.sources.models import ModelSet, save_models
 from ebbtide.sources.staging import spread, stage
 from ebbtide.sources.tables import export_predictions, read_customers, write_split
@@ -94,12 +95,15 @@ def prepare_and_train(
 def score_file(
     spark: SparkSession, source: str, models: ModelSet, output: str, format: str = "csv", schema=None
 ) -> str:
-    """Uploaded customer file in, CSV of predictions out."""
-    rows = read_customers(spark, source, format, schema)
+    """Uploaded customer file in, CSV of predictions out.
+
+    Cells of a delimited file that do not parse fail their row with their text and cause.
+    """
+    rows = read_checked(spark, source, schema or RAW_SCHEMA) if format == "csv" else read_customers(spark, source, format, schema)
     absent = [c for c in BATCH_REQUIRED_COLUMNS if c not in rows.columns]
     if absent:
         raise ValueError(f"columns missing in the batch: {absent}")
-    return export_predictions(score_batch(rows, models, details=True), output)
+    return export_predictions(score_batch(rows, models, details=True).drop(PROBLEMS), output)
 
 
 def explore_features(customers: DataFrame) -> tuple[DataFrame, list[str]]:

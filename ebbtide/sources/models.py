@@ -10,6 +10,7 @@ from pyspark.ml import Model, PipelineModel
 from pyspark.sql import SparkSession
 
 from ebbtide.plans.features import FeatureModel
+from ebbtide.sources.publish import commit, latest, new_folder
 
 REQUIRED = ["features", "classifier"]
 
@@ -39,29 +40,46 @@ def _parts(models: ModelSet) -> dict[str, Model]:
     return parts
 
 
-def save_models(models: ModelSet, path: str, spark: SparkSession) -> None:
-    """One saved pipeline per part, and a manifest with the parts and feature names."""
+def save_models(models: ModelSet, path: str, spark: SparkSession) -> int:
+    """Write all parts as a new version of the set and commit it; returns its number.
+
+    Readers see the version before until the commit, whatever happens to the writer.
+    """
+    folder = new_folder(path, "versions")
     parts = _parts(models)
     for name, part in parts.items():
-        PipelineModel([part]).write().overwrite().save(f"{path}/{name}")
-    manifest = json.dumps({"parts": list(parts), "feature_names": models.feature_names}, ensure_ascii=False)
-    spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode("overwrite").text(
-        f"{path}/manifest")
-
-
-def load_models(path: str, spark: SparkSession) -> ModelSet:
-    """Load a model set; a missing optional part is tolerated, a required one is not."""
-    try:
-        manifest = json.loads(spark.read.text(f"{path}/manifest", wholetext=True).first()["value"])
-    except AnalysisException as missing:
-        raise FileNotFoundError(f"no model set at {path}") from missing
+        PipelineModel([part]).write().save(f"{folder}/{name}")
+    content = {"folder": folder, "parts": list(parts), "feature_names": models.feature_names}
+    return commit(spark, path, content).number
+
+
+def _manifest(path: str, spark: SparkSession, version: int | None) -> tuple[str, dict]:
+    """Folder and content of a committed version, or of a set that was written without versions."""
+    found = latest(spark, path, version)
+    try:  # a plain manifest takes precedence: it was put there by hand
+        plain = None if version is not None else json.loads(spark.read.text(f"{path}/manifest", wholetext=True).first()["value"])
+    except AnalysisException:
+        plain = None
+    if plain is not None:
+        return (found.content["folder"] if found else path), plain
+    if found is None:
+        raise FileNotFoundError(f"no model set at {path}")
+    return found.content["folder"], found.content
+
+
+def load_models(path: str, spark: SparkSession, version: int | None = None) -> ModelSet:
+    """Load the last committed version of a model set, or the given one.
+
+    An optional part that is not there is left out; one that is there and damaged is an error.
+    """
+    folder, manifest = _manifest(path, spark, version)
     loaded: dict[str, Model] = {}
     for name in manifest["parts"]:
         try:
-            loaded[name] = PipelineModel.load(f"{path}/{name}").stages[0]
-        except Exception:
-            if name in REQUIRED:
-                raise
+            spark.read.text(f"{folder}/{name}/metadata").first()
+        except AnalysisException:
+            continue  # the part is not there
+        loaded[name] = PipelineModel.load(f"{folder}/{name}").stages[0]
     absent = [r for r in REQUIRED if r not in loaded]
     if absent or not manifest.get("feature_names"):
         raise ValueError(f"required parts are missing: {absent or ['feature_names']}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,10 +41,10 @@ def read_customers(
     read_as = T.StructType([
         T.StructField(n, T.StringType() if n in whole else known.get(n, T.StringType())) for n in header])
     frame = spark.read.schema(read_as).csv(path, header=True)
-    return nan_to_null(frame.selectExpr(*replacing(header, {n: _whole_number(n, known[n]) for n in whole})))
+    return nan_to_null(frame.selectExpr(*replacing(header, {n: whole_number(n, known[n]) for n in whole})))
 
 
-def _whole_number(column: str, kind: T.DataType) -> str:
+def whole_number(column: str, kind: T.DataType) -> str:
     """Whole numbers are often written as 35.0 where the column has gaps."""
     c = name(column)
     decimal = f"try_cast({c} AS DOUBLE)"
@@ -81,7 +82,10 @@ def read_split(spark: SparkSession, path: str, part: str, split_col: str = "spli
 
 
 def export_predictions(df: DataFrame, base_dir: str, path: str | None = None) -> str:
-    """Write predictions as CSV with a header; the default path carries a timestamp."""
-    target = path or f"{base_dir}/predictions_{datetime.now():%Y%m%d_%H%M%S}"
-    df.write.mode("overwrite").option("header", True).csv(target)
+    """Write predictions as CSV with a header; the default path is new for every call.
+
+    Spark publishes the files of a folder together, and a given ``path`` must not exist.
+    """
+    target = path or f"{base_dir}/predictions_{datetime.now():%Y%m%d_%H%M%S_%f}_{uuid.uuid4().hex[:8]}"
+    df.write.mode("errorifexists").option("header", True).csv(target)
     return target
