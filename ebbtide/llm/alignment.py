@@ -379,7 +379,12 @@ def _long(docs: DataFrame, byte_level: str, pieces: str, size: int, fan_in: int)
 
     A row is known by its id and its text; equal rows share their fragments and are counted.
     """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
     kind = id_type(docs)
+    schema = f"doc_id {kind}, {_ALIGNED}"
+    target = to_arrow_schema(_parse_datatype_string(schema))
     longest = docs.agg(F.max(F.octet_length("text"))).first()[0] or 0
 
     def split(batch):
@@ -402,7 +407,8 @@ def _long(docs: DataFrame, byte_level: str, pieces: str, size: int, fan_in: int)
     level = map_rows(parts.repartition("doc_id", "code", "number"),
                      f"doc_id {kind}, code binary, number long, {_FRAGMENT}", first_level)
 
-    def composed(group: pa.Table) -> pa.Table:
+    def whole(group: pa.Table) -> tuple:
+        """Number, copies and fragment of the neighbours of a group."""
         rows = sorted(zip(*(group.column(k).to_pylist() for k in range(2, group.num_columns))), key=lambda r: r[0])
         copies = sum(r[1] for r in rows if r[0] == rows[0][0])
         done, last = None, None
@@ -410,21 +416,24 @@ def _long(docs: DataFrame, byte_level: str, pieces: str, size: int, fan_in: int)
             if number != last:
                 done = Fragment(*values) if done is None else compose(done, Fragment(*values))
                 last = number
-        columns = [group.column(0)[0].as_py(), group.column(1)[0].as_py(), rows[0][0] // fan_in, copies, *astuple(done)]
+        return rows[0][0] // fan_in, copies, done
+
+    def composed(group: pa.Table) -> pa.Table:
+        number, copies, done = whole(group)
+        columns = [group.column(0)[0].as_py(), group.column(1)[0].as_py(), number, copies, *astuple(done)]
         return pa.table({f.name: pa.array([v], f.type) for f, v in zip(group.schema, columns)}, schema=group.schema)
 
-    width = 1
-    while width == 1 or width <= longest // size + 1:
+    def ended(group: pa.Table) -> pa.Table:
+        _, copies, done = whole(group)
+        columns = [group.column(0)[0].as_py(), *finish(done)]
+        return pa.table({f.name: pa.array([v] * copies, f.type) for f, v in zip(target, columns)}, schema=target)
+
+    # The last step of the tree ends the text, so no task has two Python workers.
+    width = fan_in
+    while width <= longest // size + 1:
         level = level.groupBy("doc_id", "code", F.expr(f"number div {fan_in}")).applyInArrow(composed, level.schema)
         width *= fan_in
-
-    def end(batch):
-        rows = []
-        for doc_id, copies, *values in zip(*(batch.column(k).to_pylist() for k in (0, *range(3, 15)))):
-            rows += [(doc_id, *finish(Fragment(*values)))] * copies
-        return list(zip(*rows)) or [[]] * 6
-
-    return map_rows(level, f"doc_id {kind}, {_ALIGNED}", end)
+    return level.groupBy("doc_id", "code").applyInArrow(ended, schema)
 
 
 def aligned(docs: DataFrame, byte_level: str, pieces: str, size: int = RANGE_BYTES, fan_in: int = FAN_IN) -> DataFrame:
