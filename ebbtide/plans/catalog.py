@@ -19,8 +19,8 @@ from ebbtide.functions import risk
 from ebbtide.functions.features import ENGINEERED_COLUMNS, engineer_features
 from ebbtide.functions.text import literal, name
 from ebbtide.operators import (
-    clean, cluster, correlation, encode, evaluate, impute, neighbours, pca, profile, report,
-    scale, silhouette, smote, split, train, validate,
+    clean, cluster, correlation, encode, evaluate, impute, levels, neighbours, pca, profile, report,
+    scale, silhouette, smote, split, train, validate, wide_pca,
 )
 from ebbtide.operators.align import align_features
 from ebbtide.operators.assemble import assemble
@@ -45,6 +45,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 SMALL = train.Settings(trees=10, forest_depth=5, iterations=5, max_iter=20)
 FOLDS = 2
 
+WIDE_COLUMNS = ["LastLoginIP", "RegistrationDate"]
 ALIGN_NAMES = ["Recency", "Frequency", "NotInTheTable", "MonetaryTotal", "Gender_M"]
 
 
@@ -226,6 +227,13 @@ def one_hot_residual(spark, d):
     return _melted(out, out.columns[1:])
 
 
+def wide_levels(spark, d):
+    """Positions of the levels of two columns with about as many levels as rows."""
+    rows = customer_table(spark, d).select(ID, *WIDE_COLUMNS)
+    placed = levels.level_positions(rows, levels.fit_level_table(rows, WIDE_COLUMNS, repair=False))
+    return placed.select(ID, *[F.col(f"{c}_position") for c in WIDE_COLUMNS])
+
+
 def ip_class(spark, d):
     rows = encode.add_ip_class(customer_table(spark, d).select(ID, "LastLoginIP"))
     out = encode.one_hot(rows, encode.fit_levels(rows, ["IPClass"]), keep_source=True)
@@ -330,6 +338,14 @@ def pca_variance(spark, d):
     return table.withColumn("components_for_95", F.lit(pca.components_for(ratios)))
 
 
+def wide_pca_variance(spark, d):
+    """Components of sparse vectors: some numbers and the levels of columns with very many."""
+    rows = customer_table(spark, d)
+    fitted = levels.fit_level_table(rows, ["Country", *WIDE_COLUMNS])
+    vectors = levels.assemble_wide(rows, ["Recency", "Frequency", "UniqueProducts"], fitted, [ID])
+    return pca.variance_table(spark, wide_pca.fit_wide_pca(vectors, 5).ratios)
+
+
 def kmeans_sweep(spark, d):
     vectors, _ = _explored(spark, d)
     result = cluster.kmeans_sweep(vectors)
@@ -515,6 +531,7 @@ QUERIES: dict[str, Query] = {
     "one_hot": one_hot,
     "one_hot_drop_first": one_hot_drop_first,
     "one_hot_residual": one_hot_residual,
+    "wide_levels": wide_levels,
     "ip_class": ip_class,
     "risk_level": lambda s, d: _given(s, d).select(ID, risk.risk_level("p").alias("level")),
     "risk_description": risk_description,
@@ -535,6 +552,7 @@ QUERIES: dict[str, Query] = {
     "nearest_minority": nearest_minority,
     "pca_projection": pca_projection,
     "pca_variance": pca_variance,
+    "wide_pca_variance": wide_pca_variance,
     "kmeans_sweep": kmeans_sweep,
     "cluster_sizes": cluster_sizes,
     "silhouettes": silhouette_scores,

@@ -372,6 +372,10 @@ ORACLES: dict[str, str] = {
         "FROM pts p JOIN pts q ON p.id <> q.id) GROUP BY a",
         ", pts AS (SELECT min(CustomerID) AS id, cast(Recency AS DOUBLE) AS x, "
         "cast(UniqueProducts AS DOUBLE) AS y FROM customers WHERE Churn = 1 GROUP BY x, y)"),
+    "wide_levels": _customers(
+        "SELECT CustomerID, " + ", ".join(
+            f"CASE WHEN {c} IS NOT NULL THEN dense_rank() OVER (ORDER BY {c} NULLS LAST) - 1 END AS {c}_position"
+            for c in ("LastLoginIP", "RegistrationDate")) + " FROM customers"),
     "export_predictions": _customers(
         f"SELECT CustomerID, y_pred AS churn_prediction, y_score AS churn_probability, {LEVEL} AS churn_risk_level FROM given", GIVEN),
     "malformed_cells": _customers(
