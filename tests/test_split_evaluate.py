@@ -8,8 +8,8 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from ebbtide.operators import evaluate, split
-from ebbtide.operators.neighbours import nearest_neighbours
+from ebbtide.operators import evaluate, neighbours, split
+from ebbtide.operators.neighbours import nearest_neighbours, pivot_tree
 from ebbtide.operators.report import with_index
 from ebbtide.operators.smote import smote
 
@@ -152,6 +152,59 @@ def test_neighbours_equal_brute_force(spark, shape, block):
         np.testing.assert_allclose(found[i], np.sort(far[i])[:5], atol=1e-9)
 
 
+@pytest.mark.parametrize("shape", ["outliers", "clusters", "grid", "offset"])
+def test_deep_pivot_trees_equal_brute_force(spark, shape):
+    rng = np.random.default_rng(4)
+    x = {
+        "outliers": np.concatenate([rng.normal(0, 1, (250, 3)), 1000.0 * rng.normal(size=(12, 3))]),
+        "clusters": np.concatenate([rng.normal(c * 9, 0.5, (60, 2)) for c in range(6)]),
+        "grid": np.array([[float(a), float(b)] for a in range(18) for b in range(18)]),
+        "offset": rng.random((200, 3)) + 1e7,
+    }[shape]
+    points = _points(spark, x)
+    tree = pivot_tree(points, 6, 5, 3)
+    assert tree.levels > 2
+    sizes = tree.points.groupBy("node").count().toPandas()["count"]
+    assert sizes.sum() == len(x) and sizes.max() <= 24
+    found = {r.id: r.neighbours for r in nearest_neighbours(points, 4, 6, 5, 3).collect()}
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(far, np.inf)
+    for i in range(len(x)):
+        order = np.lexsort((np.arange(len(x)), far[i]))[:4]
+        np.testing.assert_allclose([n.distance for n in found[i]], far[i][order], rtol=1e-9, atol=1e-9)
+        assert len({n.id for n in found[i]}) == 4
+        if shape == "grid":  # ties go to the smaller id
+            assert [n.id for n in found[i]] == order.tolist()
+
+
+def test_a_leaf_that_cannot_be_split_is_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "MAX_LEVELS", 1)
+    x = np.random.default_rng(2).random((300, 2))
+    found = {r.id: [n.distance for n in r.neighbours] for r in nearest_neighbours(_points(spark, x), 3, 20, 2, 2).collect()}
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(far, np.inf)
+    for i in range(len(x)):
+        np.testing.assert_allclose(found[i], np.sort(far[i])[:3], atol=1e-9)
+
+
+def test_few_points_have_few_neighbours(spark):
+    assert nearest_neighbours(_points(spark, np.zeros((1, 2))), 3).count() == 0
+    assert nearest_neighbours(_points(spark, np.ones((1, 2))).limit(0), 3).count() == 0
+    assert nearest_neighbours(_points(spark, np.arange(3.0)[:, None]), 3).selectExpr("size(neighbours) AS n").distinct().first().n == 2
+
+
+def test_visits_grow_below_quadratic_on_clusters(spark):
+    made = []
+    for clusters in (8, 32):
+        rng = np.random.default_rng(3)
+        x = np.concatenate([rng.normal(rng.random(3) * 1000, 1, (100, 3)) for _ in range(clusters)])
+        tree = pivot_tree(_points(spark, x), 50, 16, 8)
+        reach = tree.points.withColumn("part", F.lit(0).cast("long")).withColumn("reach", F.lit(1.0))
+        ends = reach.groupBy(F.col("node").alias("leaf")).agg(F.max("reach").alias("reach"))
+        made.append(neighbours.leaf_visits(reach, neighbours.leaf_pairs(tree, ends, 5)).count())
+    assert made[1] < 8 * made[0]  # four times the points; pairs of all leaves would be sixteen times
+
+
 def _classes(spark, minority, majority_rows):
     rows = [(i, 1, [float(v) for v in r]) for i, r in enumerate(minority)]
     rows += [(1000 + i, 0, [0.0] * len(minority[0])) for i in range(majority_rows)]
