@@ -55,6 +55,54 @@ def test_chunks_of_long_texts(encoder, plain):
     assert encode_chunked(encoder, "y" * 5000, 512, 16) == plain("y" * 5000)
 
 
+def test_splices_are_where_both_chunks_agree(encoder, plain, monkeypatch):
+    from ebbtide.llm import token_counts
+
+    seen, widths, splice = [], [], token_counts._splice
+
+    def watched(text, left, right, start, end):
+        met = splice(text, left, right, start, end)
+        widths.append(end - start)
+        if met:
+            place, i, j = met
+            assert start < place < end and text[place] == " " and not text[place - 1].isspace()
+            assert left[1][i - 1] == right[1][j - 1] == place
+            seen.append(place)
+        return met
+
+    monkeypatch.setattr(token_counts, "_splice", watched)
+    text = ("début, of. the " * 40 + "z" * 700 + " <|endoftext|> 日本 é  x\n\n ") * 5
+    assert encode_chunked(encoder, text, 256, 16) == plain(text)
+    assert len(seen) > 10 and min(widths) == 16 and max(widths) >= 512  # widened over the long word
+
+
+def test_chunks_that_disagree_are_not_spliced(encoder, plain, monkeypatch):
+    from ebbtide.llm import token_counts
+
+    real = token_counts._encode
+
+    def wrong_near_the_cut(encoder, text, start, end):  # tokens of a chunk's first 40 characters
+        ids, ends = real(encoder, text, start, end)
+        ids = ids.copy()
+        if start:
+            ids[ends < start + 40] += 1
+        return ids, ends
+
+    monkeypatch.setattr(token_counts, "_encode", wrong_near_the_cut)
+    text = "alpha beta, gamma delta. " * 80
+    assert encode_chunked(encoder, text, 300, 16) == plain(text)
+
+
+def test_texts_without_boundaries_cost_in_proportion(encoder, plain, monkeypatch):
+    from ebbtide.llm import token_counts
+
+    real, work = token_counts._encode, []
+    monkeypatch.setattr(token_counts, "_encode", lambda e, t, a, b: (work.append(b - a), real(e, t, a, b))[1])
+    text = "日本語テキスト" * 3000
+    assert encode_chunked(encoder, text, 256, 128) == plain(text)
+    assert sum(work) < 12 * len(text)
+
+
 def test_count_tokens(make_docs, tokenizer, plain):
     rows = [(i, t) for i, t in enumerate(ODD)] + [(99, None), (None, "a b"), (3, "a b"), (3, "a b"), (7, "word, " * 9000)]
     out = count_tokens(make_docs(rows, extra=["n_tokens", "n_bytes"]), tokenizer).collect()
