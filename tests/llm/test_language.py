@@ -1,6 +1,7 @@
 """The automaton against substring search; held-out accuracy."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -45,7 +46,8 @@ def test_held_out_accuracy(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = learn(docs, NOT_HELD_OUT)
     out = identify(docs, model).join(docs.select("doc_id", "lang", "n_chars"), "doc_id").collect()
-    held = [r for r in out if r.lang]
+    held = [r for r in out if r.lang and zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
+    assert len(held) > 20
     assert sum(r.lang == r.lang_pred for r in held) / len(held) > 0.97
     assert all(0 <= r.score <= 1 for r in out) and {r.lang_pred for r in out} <= {*model.languages, "und"}
 
@@ -75,3 +77,67 @@ def test_edges(make_docs):
     empty = learn(make_docs([]), NOT_HELD_OUT)
     assert {r.lang_pred for r in identify(docs, empty).collect()} == {"und"}
     assert identify(make_docs([]), model).count() == 0
+
+
+def _plain(text, samples):
+    """Language and share of a text by longest substrings of the samples, code point by code point."""
+    points = language.clean(text)
+    bits = {}
+    for lang, sample in samples.items():
+        own = language.own_letters(sample)
+        known = "".join(map(chr, language.spell(sample, own)[0]))
+        symbols = language.spell(points, own)[0].tolist()
+        # a phrase per block of 256 symbols at least
+        count = sum(greedy(symbols[a:a + language.BLOCK], known) for a in range(0, len(symbols), language.BLOCK))
+        bits[lang] = count * np.log2(max(len(sample), 2)) / max(len(points), 1)
+    best = min(sorted(bits), key=bits.get)
+    return best, 1 / sum(np.exp(-language.SHARPNESS * (b - bits[best])) for b in bits.values())
+
+
+SCRIPTS = {
+    "el": "ο σκύλος και η γάτα κοιμούνται στον καναπέ του σπιτιού", "ru": "собака и кошка спят на диване в доме",
+    "ja": "犬と猫は家のソファで眠っている毎日", "zh": "狗和猫每天都在家里的沙发上睡觉", "ko": "개와 고양이는 집 소파에서 잔다",
+    "ar": "الكلب والقط ينامان على الأريكة في البيت", "en": "the dog and the cat sleep on the sofa at home",
+    "fr": "le chien et le chat dorment sur le canapé à la maison"}
+
+
+def test_whole_predictions_equal_a_plain_parser_over_many_scripts(make_docs):
+    draw = random.Random(5)
+
+    def text(lang, n):
+        words = SCRIPTS[lang].split(" ") if " " in SCRIPTS[lang] else list(SCRIPTS[lang])
+        return (" " if " " in SCRIPTS[lang] else "").join(draw.choice(words) for _ in range(n))
+
+    rows = [(1000 * k + i, text(lang, 12), lang) for k, lang in enumerate(SCRIPTS) for i in range(25)]
+    held = [(90_000 + 100 * k + i, text(lang, 9), None) for k, lang in enumerate(SCRIPTS) for i in range(5)]
+    held += [(99_000, text("ru", 300), None), (99_001, "ж" * 700 + " ŵ 犬", None)]
+    model = learn(make_docs(rows), "true", symbols=600, rows=10)
+    assert model.languages == sorted(SCRIPTS)
+    samples = dict(zip(model.languages, model.texts))
+    for most in (language.TABLE_BYTES, 1):  # all languages at once, and one at a time
+        got = {r.doc_id: (r.lang_pred, r.score) for r in identify(make_docs(held), model, most).collect()}
+        for i, t, _ in held:
+            name, score = _plain(t, samples)
+            assert got[i][0] == name and abs(got[i][1] - score) < 1e-9
+        assert all(got[90_000 + 100 * k + i][0] == lang for k, lang in enumerate(SCRIPTS) for i in range(5))
+
+
+def test_every_label_is_learned(make_docs):
+    rows = [(i, f"word{chr(0x4E00 + i)} only{chr(0x5E00 + i)}", f"l{i:03d}") for i in range(450)]
+    rows += [(1000 + i, "common words of a frequent label", "big") for i in range(50)]
+    assert learn(make_docs(rows), "true", symbols=50, rows=3).languages == sorted({r[2] for r in rows})
+
+
+def test_passages_come_from_the_whole_text(make_docs):
+    long = "a" * 5000 + " " + "b" * 5000 + " " + "c" * 5000
+    rows = [(i, long + " " + "d" * i, "x") for i in range(1, 60)]
+    seen = set(map(chr, learn(make_docs(rows), "true", symbols=4000, rows=40).texts[0].tolist()))
+    assert {"a", "b", "c"} <= seen
+
+
+def test_no_two_letters_share_a_spelling():
+    points = np.array([*range(0x41, 0x5B), *range(0x400, 0x460), *range(0x4E00, 0x5600), 0x20000, 0x10FFFF], np.uint32)
+    symbols, width = language.spell(points, np.arange(0x41, 0x51, dtype=np.uint32))
+    ends = np.cumsum(width)
+    spellings = {tuple(symbols[e - w:e]) for e, w in zip(ends, width)}
+    assert len(spellings) == len(points) and symbols.max() < language.ALPHABET
