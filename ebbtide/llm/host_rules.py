@@ -114,7 +114,7 @@ def apply_rules(docs: DataFrame, rules: Rules = Rules(), host: str = "source") -
 
     Null texts have no words, so they fail.  A null host is a host of its own.  Repeated rows
     are separate rows and count each.  Empty tables give empty tables; other columns are not
-    read.  The counts are written once to the shared folder and read for both the host sums and
+    read, whatever their names.  Texts of any length are counted whole.  The counts are written once to the shared folder and read for both the host sums and
     the join back; the host table has one row per host and its join follows the size Spark sees.
     """
     counts = stage(document_counts(docs, rules, host), "counts")
@@ -128,6 +128,8 @@ def keep_good(docs: DataFrame, rules: Rules = Rules(), host: str = "source") ->
     """The rows of ``docs``, all columns, that ``apply_rules`` keeps; the texts are not shuffled.
 
     The texts are counted once for the hosts' rates and again, with their rows, for the filter.
+    Null and empty texts go; a null id or host is kept with a good text; repeated rows are judged
+    alike and stay repeated; an empty table gives an empty one; columns named like the counts stay.
     """
     rates = host_rates(document_counts(docs, rules, host)).select(F.col("host").alias("_host"), "host_rate")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")

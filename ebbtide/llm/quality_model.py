@@ -170,7 +170,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, where: str, cut: float = 0
 
     ``where`` (SQL over ``doc_id``) picks the rows whose ``labels.quality`` may be learned.  Labels
     that are null or not 0 or 1 are left out; of several labels of one ``doc_id`` the least counts.
-    Null and empty texts are scored on zero statistics; repeated rows and null ids are kept.
+    Null and empty texts are scored on zero statistics, texts of any length on whole ones; repeated
+    rows and null ids are kept.  An empty table gives an empty one; without usable labels every
+    score is the same.  Other columns are not read, whatever their names.
     """
     frame = stage(statistics(docs), "statistics")
     known = labels.where("quality IN (0, 1)").groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("label"))

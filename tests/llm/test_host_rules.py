@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from ebbtide.llm.host_rules import Rules, apply_rules, beta_prior, text_counts
+from ebbtide.llm.host_rules import Rules, apply_rules, beta_prior, keep_good, text_counts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = ["", " \n\t", "a b c a b c d", "a a a a a", "x\n\nx\n x\nx\n", "é ñ ß #*$%&|<> \x1c z", "one", "a b a b a b c " * 30,
@@ -60,3 +60,25 @@ def test_edges(make_docs, spark):
     a, b = beta_prior(spark.createDataFrame([("x", 10, 1), ("y", 10, 1)], "host string, n long, fails long"))
     assert abs((a + b) - 20) < 1e-9
     assert Rules().max_host_rate == 0.5
+
+
+def test_nulls_long_texts_and_clashing_columns(make_docs):
+    good = " ".join(f"w{i}" for i in range(60))
+    long = " ".join(f"w{i % 90_000}#" for i in range(150_000)) + "\nsame line\nsame line"
+    rows = [(1, good), (2, None), (3, ""), (4, " \t\n"), (5, long), (None, good), (6, good, "en", None), (1, good)]
+    clashes = ["kept", "host", "n_words", "host_rate", "base_failed", "_row", "_text", "_own", "_good", "_host"]
+    docs = make_docs(rows, extra=clashes)
+    rules = Rules(max_host_rate=1.0)
+    out = sorted(((r.doc_id or 0, r.n_words, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.kept) for r in apply_rules(docs, rules).collect()))
+    want = []
+    for row in rows:
+        n_words, _, symbols, dup, repeat = plain(row[1] or "")
+        bad = n_words < 50 or 100 * repeat > 50 * n_words
+        want.append((row[0] or 0, n_words, symbols, dup, repeat, not bad))
+    assert out == sorted(want)
+    kept = keep_good(docs, rules)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id or 0), r.text) for r in kept.collect()) == sorted(
+        (row[0] or 0, row[1]) for row, w in zip(rows, want) if w[5])
+    assert {r.kept for r in kept.collect()} == {"clash"}
+    assert keep_good(make_docs([])).count() == 0
