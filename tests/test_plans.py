@@ -51,3 +51,18 @@ def test_scoring_is_one_scan_without_python(customers, ready):
 
 def test_segment_action_broadcasts_five_rows(customers):
     assert "BroadcastHashJoin" in plan(risk.segment_action(customers))
+
+
+def test_customers_copy_no_rows_for_their_distinct_counts(spark, sf_dir):
+    text = plan(fixtures.customers(spark, sf_dir))
+    assert "Expand" not in text and "ShuffledHashJoin" in text
+
+
+def test_distinct_counts_with_repeated_and_missing_keys(spark):
+    orders = spark.createDataFrame([(1, 7), (1, 7), (2, 7), (3, 8), (4, None)], "o_orderkey long, o_custkey long")
+    lines = spark.createDataFrame(
+        [(1, 10, 5), (1, 11, 5), (2, 10, 6), (2, None, None), (3, 99, 99), (4, 10, 5)], "l_orderkey long, l_partkey long, l_suppkey long")
+    part = spark.createDataFrame([(10, "a"), (10, "b"), (11, "a"), (12, "c"), (None, "d")], "p_partkey long, p_name string")
+    supplier = spark.createDataFrame([(5, 1), (5, 2), (6, 1), (6, None)], "s_suppkey long, s_nationkey int")
+    found = fixtures._variety_columns(orders, lines, part, supplier).where("k IS NOT NULL").collect()
+    assert sorted(map(tuple, found)) == [(7, 2, 2, 2), (8, 1, 0, 0)]
