@@ -1,9 +1,10 @@
 """Exact silhouettes of Euclidean distance, for several assignments in one pass over block pairs.
 
 Equal points with equal labels are collapsed to one with a number of copies.  Points lie in blocks
-of bounded size, each within one cluster of the finest assignment; a block is one row.  A pair of
-blocks is one unit of work: its distances are computed once and added up per cluster of every
-assignment, so no pair of points is ever a row.
+of bounded size, each within one cluster of the finest assignment; a block is one row.  The
+distances of a pair of blocks are computed once and added up per cluster of every assignment, so no
+pair of points is ever a row.  Neither is a pair of blocks ever written: a task reads its own blocks
+and a stripe of the others from the written table, and only sums per block and stripe move.
 
 A point needs its mean distance to its own cluster, and to the nearest other one.  The mean
 distance to a cluster is at least the distance to its mean, and at most the root of the mean
@@ -25,9 +26,12 @@ from ebbtide.operators.kmeans import squared_distances
 from ebbtide.sources.staging import stage
 
 #: Most points of a block, blocks that are aimed at so that few points keep all cores busy, and
-#: points of one side whose distances are in memory at a time.
-BLOCK_ROWS, LEAST_BLOCKS, ROWS_AT_ONCE = 16_384, 8, 512
-_BLOCK = "block long, rows int, x binary, copies binary, labels binary"
+#: points of either side whose distances are in memory at a time.
+BLOCK_ROWS, LEAST_BLOCKS, ROWS_AT_ONCE, OTHERS_AT_ONCE = 16_384, 8, 512, 256
+#: Bytes of blocks that a task meets its own blocks with, blocks whose sums it holds, and partial
+#: sums of a block that are added at a time.
+STRIPE_BYTES, HELD_BLOCKS, PARTS = 256 << 20, 4, 16
+_BLOCK = "block long, rows int, x binary, copies binary, labels binary, needs array<int>, holds array<int>"
 
 
 def _collapsed(df: DataFrame, labels: list[str], features: str) -> DataFrame:
@@ -105,50 +109,61 @@ def silhouettes(df: DataFrame, labels: list[str], features: str = "features", bl
         x = group.column("x").combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1)
         own = group.column("labels").combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1)
         block = (group.column("cell")[0].as_py() << 32) + group.column("part")[0].as_py()
-        columns = (x, group.column("copies").to_numpy().astype(float), known.columns(own).astype(np.int64))
+        own = known.columns(own).astype(np.int64)
+        need = np.zeros(known.first[-1], bool)
+        for at in range(0, len(x), ROWS_AT_ONCE):
+            need |= known.needed(x[at:at + ROWS_AT_ONCE], own[at:at + ROWS_AT_ONCE]).any(axis=0)
+        columns = (x, group.column("copies").to_numpy().astype(float), own)
         return pa.table({"block": pa.array([block], pa.int64()), "rows": pa.array([len(x)], pa.int32()),
-                         **{c: pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for c, v in zip(("x", "copies", "labels"), columns)}})
+                         **{c: pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for c, v in zip(("x", "copies", "labels"), columns)},
+                         **{c: pa.array([v.tolist()], pa.list_(pa.int32())) for c, v in (("needs", np.flatnonzero(need)), ("holds", np.unique(own)))}})
 
     blocks = stage(dealt.groupBy("cell", "part").applyInArrow(pack, _BLOCK), "blocks")
-
-    def sides(batches):
-        """Clusters that the points of a block need, and those that they belong to."""
-        for batch in batches:
-            rows = []
-            for block, count, *raw in zip(*(c.to_pylist() for c in batch.columns)):
-                x, _, own = _read(*raw, count)
-                need = np.zeros(known.first[-1], bool)
-                for at in range(0, count, ROWS_AT_ONCE):
-                    need |= known.needed(x[at:at + ROWS_AT_ONCE], own[at:at + ROWS_AT_ONCE]).any(axis=0)
-                rows += [(block, True, int(c)) for c in np.flatnonzero(need)] + [(block, False, int(c)) for c in np.unique(own)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 3, (pa.int64(), pa.bool_(), pa.int32()))], names=["block", "needs", "cluster"])
-
-    about = stage(blocks.mapInArrow(sides, "block long, needs boolean, cluster int"), "sides")
-    pairs = about.where("needs").select("block", "cluster").join(
-        about.where("NOT needs").select(F.col("block").alias("other"), "cluster"), "cluster").select("block", "other").distinct()
-    theirs = blocks.select(*[F.col(c).alias("other" if c == "block" else f"other_{c}") for c in blocks.columns])
-    met = blocks.join(pairs, "block").join(theirs, "other").select(
-        "block", F.pmod(F.xxhash64("other"), F.lit(16)).cast("int").alias("part"), "rows", "x", "other_rows", "other_x", "other_copies", "other_labels")
+    count, size = blocks.agg(F.count("*"), F.sum(F.octet_length("x") + F.octet_length("labels") + F.octet_length("copies"))).first()
+    stripes = -(-size // STRIPE_BYTES)
+    # The blocks that hold a cluster which some point of a block needs.
+    theirs = blocks.select(F.col("rows").alias("other_rows"), F.col("x").alias("other_x"), F.col("copies").alias("other_copies"),
+                           F.col("labels").alias("other_labels"), "holds").repartition(stripes)
+    met = blocks.select("block", "rows", "x", "needs").repartition(count).join(
+        theirs.hint("shuffle_replicate_nl"), F.arrays_overlap("needs", "holds")).select(
+        "block", "rows", "x", "other_rows", "other_x", "other_copies", "other_labels")
 
     def measure(batches):
+        from pyspark import TaskContext
+
+        part, held = TaskContext.get().partitionId() % PARTS, {}
+
+        def emitted():
+            for block, sums in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([part], pa.int32()), pa.array([sums.tobytes()], pa.binary())],
+                                                 names=["block", "part", "sums"])
+            held.clear()
+
         for batch in batches:
             for k in range(batch.num_rows):
-                block, part, count, raw, others, *their_raw = (c[k].as_py() for c in batch.columns)
+                block, count, raw, others, *their_raw = (c[k].as_py() for c in batch.columns)
                 x = np.frombuffer(raw).reshape(count, -1)
                 y, copies, clusters = _read(*their_raw, others)
                 hot = np.zeros((others, known.first[-1]))
                 hot[np.arange(others)[:, None], clusters] = copies[:, None]
-                sums = np.empty((count, known.first[-1]))
+                if block not in held:
+                    if len(held) >= HELD_BLOCKS:
+                        yield from emitted()
+                    held[block] = np.zeros((count, known.first[-1]))
+                xx, yy, double = (x * x).sum(1), (y * y).sum(1), -2.0 * y.T
                 for at in range(0, count, ROWS_AT_ONCE):
                     mine = x[at:at + ROWS_AT_ONCE]
-                    far = squared_distances(mine, y)
-                    # The matrix product loses digits where points are close: those are measured again.
-                    close = np.argwhere(far <= 1e-6 * ((mine * mine).sum(1)[:, None] + (y * y).sum(1)[None, :]))
-                    far[close[:, 0], close[:, 1]] = ((mine[close[:, 0]] - y[close[:, 1]]) ** 2).sum(1)
-                    sums[at:at + ROWS_AT_ONCE] = np.sqrt(far) @ hot
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([part], pa.int32()), pa.array([sums.tobytes()], pa.binary())],
-                                                 names=["block", "part", "sums"])
+                    for to in range(0, others, OTHERS_AT_ONCE):
+                        theirs = slice(to, to + OTHERS_AT_ONCE)
+                        scale = xx[at:at + ROWS_AT_ONCE, None] + yy[None, theirs]
+                        far = mine @ double[:, theirs]
+                        far += scale
+                        # The matrix product loses digits where points are close: those are measured again.
+                        scale *= 1e-6
+                        i, j = np.nonzero(far <= scale)
+                        far[i, j] = ((mine[i] - y[theirs][j]) ** 2).sum(1)
+                        held[block][at:at + ROWS_AT_ONCE] += np.sqrt(far, out=far) @ hot[theirs]
+        yield from emitted()
 
     schema = "block long, part int, sums binary"
 
@@ -156,15 +171,15 @@ def silhouettes(df: DataFrame, labels: list[str], features: str = "features", bl
         total = sum(np.frombuffer(raw) for raw in group.column("sums").to_pylist())
         return pa.table([group.column("block")[:1], group.column("part")[:1], pa.array([total.tobytes()], pa.binary())], names=["block", "part", "sums"])
 
-    sums = met.repartition(max(16, 4 * spark.sparkContext.defaultParallelism), "block", "part").mapInArrow(measure, schema)
-    for key in (["block", "part"], ["block"]):
+    sums = met.mapInArrow(measure, schema)
+    for key in (["block", "part"], ["block"]) if stripes > PARTS else (["block"],):
         sums = sums.groupBy(*key).applyInArrow(added, schema)
 
     def score(batches):
         totals = np.zeros((len(labels), 2))
         for batch in batches:
             for k in range(batch.num_rows):
-                _, count, raw, copies, own, sums = (c[k].as_py() for c in batch.columns)
+                count, raw, copies, own, sums = (c[k].as_py() for c in batch.columns)
                 x, copies, own = _read(raw, copies, own, count)
                 far = np.frombuffer(sums).reshape(count, -1)
                 need = known.needed(x, own)
@@ -181,7 +196,7 @@ def silhouettes(df: DataFrame, labels: list[str], features: str = "features", bl
                     totals[m] += (np.nan_to_num(s) * copies).sum(), copies.sum()
         yield pa.RecordBatch.from_arrays([pa.array(range(len(labels)), pa.int32()), pa.array(totals[:, 0]), pa.array(totals[:, 1])], names=["m", "s", "n"])
 
-    scored = blocks.join(sums.select("block", "sums"), "block").mapInArrow(score, "m int, s double, n double")
+    scored = blocks.join(sums.select("block", "sums"), "block").select("rows", "x", "copies", "labels", "sums").mapInArrow(score, "m int, s double, n double")
     name = F.element_at(F.array(*[F.lit(c) for c in labels]), F.col("m") + 1)
     return scored.groupBy("m").agg((F.sum("s") / F.sum("n")).alias("silhouette"), F.sum("n").cast("long").alias("n")).select(
         name.alias("assignment"), "silhouette", "n")

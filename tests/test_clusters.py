@@ -9,7 +9,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from ebbtide.operators import cluster, kmeans
+from ebbtide.operators import cluster, kmeans, silhouette
 from ebbtide.operators.kmeans import Centres, best_runs, fit_runs, greedy_seeds
 from ebbtide.operators.silhouette import silhouettes
 from pyspark.ml.functions import vector_to_array
@@ -125,6 +125,20 @@ def test_silhouettes_of_all_pairs(spark, block_rows):
             assert got[c].silhouette == pytest.approx(plain_silhouette(x, labels[c]), abs=1e-9) and got[c].n == len(x)
 
 
+def test_silhouettes_write_no_pairs_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(silhouette, "STRIPE_BYTES", 400)
+    monkeypatch.setattr(silhouette, "HELD_BLOCKS", 2)
+    x = blobs(120, 3, 1.5)
+    df = spark.createDataFrame([(Vectors.dense(p), i % 4, i % 3) for i, p in enumerate(x.tolist())], ["features", "c", "d"])
+    got = silhouettes(df, ["c", "d"], block_rows=10)
+    text = got._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    below = text[text.index("CartesianProduct"):]
+    assert "other_x" not in text[:text.index("CartesianProduct")].split("MapInArrow measure")[0] and "Join" not in below
+    for r in got.collect():
+        labels = np.arange(120) % (4 if r.assignment == "c" else 3)
+        assert r.silhouette == pytest.approx(plain_silhouette(x, labels), abs=1e-9)
+
+
 def test_silhouettes_skip_far_clusters_and_missing_labels(spark):
     x = blobs(200, 5, 0.2)
     df = spark.createDataFrame([(Vectors.dense(p), i % 4 if i % 10 else None) for i, p in enumerate(x.tolist())], ["features", "c"])
