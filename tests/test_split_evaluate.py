@@ -187,6 +187,23 @@ def test_a_leaf_that_cannot_be_split_is_compared_in_blocks(spark, monkeypatch):
         np.testing.assert_allclose(found[i], np.sort(far[i])[:3], atol=1e-9)
 
 
+@pytest.mark.parametrize("dense", [8, 0])
+def test_points_that_reach_all_leaves_are_met_without_written_visits(spark, monkeypatch, dense):
+    monkeypatch.setattr(neighbours, "DENSE", dense)
+    monkeypatch.setattr(neighbours, "STRIPE_BYTES", 4_096)
+    monkeypatch.setattr(neighbours, "HELD_BLOCKS", 2)
+    written, stage = [], neighbours.stage
+    monkeypatch.setattr(neighbours, "stage", lambda df, label: written.append(label) or stage(df, label))
+    x = np.random.default_rng(6).random((240, 12)).round(1)
+    found = {r.id: r.neighbours for r in nearest_neighbours(_points(spark, x), 5, 16).collect()}
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(far, np.inf)
+    for i in range(len(x)):
+        order = np.lexsort((np.arange(len(x)), far[i].round(9)))[:5]
+        np.testing.assert_allclose([n.distance for n in found[i]], far[i][order], atol=1e-9)
+    assert ("visits" in written) == (dense == 0)
+
+
 def test_few_points_have_few_neighbours(spark):
     assert nearest_neighbours(_points(spark, np.zeros((1, 2))), 3).count() == 0
     assert nearest_neighbours(_points(spark, np.ones((1, 2))).limit(0), 3).count() == 0
