@@ -66,3 +66,18 @@ def test_distinct_counts_with_repeated_and_missing_keys(spark):
     supplier = spark.createDataFrame([(5, 1), (5, 2), (6, 1), (6, None)], "s_suppkey long, s_nationkey int")
     found = fixtures._variety_columns(orders, lines, part, supplier).where("k IS NOT NULL").collect()
     assert sorted(map(tuple, found)) == [(7, 2, 2, 2), (8, 1, 0, 0)]
+
+
+def test_lines_move_twice(spark, sf_dir):
+    """Once to their order and once to their customer, whose distinct counts need no further shuffle."""
+    text = plan(fixtures.customers(spark, sf_dir))
+    assert sum("l_partkey" in part and "hashpartitioning" in part for part in text.split("\n\n")) == 2
+
+
+def test_hot_customers_count_as_others(spark, sf_dir):
+    orders, lines, part, supplier = (fixtures.table(spark, sf_dir, t) for t in ("orders", "lineitem", "part", "supplier"))
+    lines = lines.unionByName(lines.limit(50))
+    some = orders.groupBy("o_custkey").count().selectExpr("percentile(count, 0.5)").first()[0]
+    together, spread = (
+        sorted(map(tuple, fixtures._line_columns(orders, lines, part, supplier, n).collect())) for n in (10 ** 9, int(some)))
+    assert together == spread and len(together) > 100
