@@ -31,6 +31,12 @@ def entries(df: DataFrame, id_col: str = ID, features: str = FEATURES) -> DataFr
         "row", F.col("e.indices").alias("feature"), F.col("e.values").alias("value")).where("value <> 0")
 
 
+def _filled(cells: DataFrame, means: DataFrame) -> DataFrame:
+    """The elements with the mean of their feature in place of a missing value."""
+    value = F.when(F.isnan("value"), F.coalesce("mean", F.lit(0.0))).otherwise(F.col("value"))
+    return cells.join(means, "feature").select("row", "feature", value.alias("value"))
+
+
 def _names(letter: str, width: int) -> list[str]:
     return [f"{letter}{j}" for j in range(width)]
 
@@ -51,15 +57,16 @@ def _times(names: list[str], matrix: np.ndarray, letter: str) -> list[Column]:
 
 
 class WidePca(NamedTuple):
-    loadings: DataFrame   # feature, l0, l1, ...
+    loadings: DataFrame   # feature, mean, l0, l1, ...
     offsets: list[float]  # product of the means and each component
     ratios: list[float]
 
     def project(self, df: DataFrame, id_col: str = ID, features: str = FEATURES) -> DataFrame:
         """``id, pc1, pc2, ...`` of every row."""
         names = _names("l", len(self.ratios))
+        filled = F.when(F.isnan("value"), F.col("mean")).otherwise(F.col("value"))
         sums = entries(df, id_col, features).join(self.loadings, "feature").groupBy("row").agg(
-            *[F.sum(F.col("value") * F.col(n)).alias(n) for n in names])
+            *[F.sum(filled * F.col(n)).alias(n) for n in names])
         return df.select(F.col(id_col)).join(sums, F.col(id_col) == F.col("row"), "left").select(
             id_col, *[(F.coalesce(F.col(n), F.lit(0.0)) - o).alias(f"pc{j}") for j, (n, o) in enumerate(zip(names, self.offsets), start=1)])
 
@@ -69,14 +76,20 @@ def fit_wide_pca(df: DataFrame, k: int = 2, id_col: str = ID, features: str = FE
     """The ``k`` first components of the centred rows; ``id_col`` must be unique.
 
     ``rounds`` steps of subspace iteration on ``k + oversample`` directions.  Fewer components
-    come back where the rows span fewer directions.
+    come back where the rows span fewer directions.  A missing value counts as the mean of the
+    values that its feature has in the other rows.
     """
     n = df.count()
     cells = stage(entries(df, id_col, features), "cells")
+    gaps = F.count_if(F.isnan("value"))
+    there = F.sum(F.when(~F.isnan("value"), F.col("value")))
+    seen = cells.groupBy("feature").agg(gaps.alias("gaps"), F.when(gaps < n, there / (F.lit(n) - gaps)).alias("mean"))
+    if seen.where("gaps > 0").limit(1).count():
+        cells = stage(_filled(cells, seen.select("feature", "mean")).where("value <> 0"), "filled")
     about = stage(cells.groupBy("feature").agg((F.sum("value") / max(n, 1)).alias("mean"), F.sum(F.col("value") ** 2).alias("square")), "means")
     size, total = about.agg(F.count("*"), F.sum(F.col("square") - n * F.col("mean") ** 2)).first()
     if n < 2 or not total or total <= 0:
-        return WidePca(about.select("feature").where("false"), [], [])
+        return WidePca(about.select("feature", "mean").where("false"), [], [])
     total /= n - 1
     width = min(k + oversample, size)
 
@@ -115,6 +128,6 @@ def fit_wide_pca(df: DataFrame, k: int = 2, id_col: str = ID, features: str = FE
     variances, axes = np.linalg.eigh(spread)
     order = np.argsort(variances)[::-1][:k]
     chosen = axes[:, order] * np.where(axes[np.abs(axes[:, order]).argmax(0), order] < 0, -1.0, 1.0)
-    loadings = stage(again.select("feature", *_times(_names("q", width), chosen, "l")), "loadings")
+    loadings = stage(again.select("feature", "mean", *_times(_names("q", width), chosen, "l")), "loadings")
     return WidePca(loadings, (offsets @ chosen).tolist(), [float(max(variances[i], 0.0) / total) for i in order])
 

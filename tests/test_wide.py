@@ -90,6 +90,26 @@ def test_rows_of_zeros_and_dense_vectors(spark):
     assert np.allclose(np.abs(np.cov(scores.T)), np.diag(values[:2]), atol=1e-9)
 
 
+def test_missing_values_count_as_the_mean_of_their_feature(spark):
+    draw = np.random.default_rng(5)
+    x = np.column_stack([draw.normal(3, 2, 80), draw.integers(0, 2, 80), draw.normal(size=80)])
+    x[::7, 0], x[3::11, 2], x[:5, 1] = np.nan, np.nan, 0
+    df = spark.createDataFrame([(i, Vectors.dense(r)) for i, r in enumerate(x.tolist())], [ID, "features"]).repartition(3)
+    x = np.where(np.isnan(x), np.nanmean(x, axis=0), x)
+    values = np.linalg.eigvalsh(np.cov(x.T))[::-1]
+    wide = fit_wide_pca(df, 3)
+    assert np.allclose(wide.ratios, values / values.sum())
+    scores = np.array([[r.pc1, r.pc2, r.pc3] for r in wide.project(df).collect()])
+    assert np.allclose(np.abs(np.cov(scores.T)), np.diag(values), atol=1e-9) and np.allclose(scores.mean(0), 0, atol=1e-9)
+
+
+def test_a_feature_without_any_value_adds_nothing(spark):
+    x = [(i, Vectors.dense([float("nan"), i % 4, (i * 7) % 5])) for i in range(40)]
+    wide = fit_wide_pca(spark.createDataFrame(x, [ID, "features"]), 2)
+    values = np.linalg.eigvalsh(np.cov(np.array([[i % 4, (i * 7) % 5] for i in range(40)]).T))[::-1]
+    assert np.allclose(wide.ratios, values / values.sum())
+
+
 def test_nothing_to_find(spark, sparse_rows):
     same = spark.createDataFrame([(i, Vectors.dense([1.0, 0.0])) for i in range(5)], [ID, "features"])
     assert fit_wide_pca(same, 2).ratios == [] and fit_wide_pca(sparse_rows.limit(0), 2).ratios == []
