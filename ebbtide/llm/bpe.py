@@ -231,6 +231,18 @@ def _sort_out(docs: DataFrame, tokenizer: str, shared: Filter) -> DataFrame:
     return map_rows(narrow(docs, "doc_id", "text"), schema, work)
 
 
+def id_width(encoder: Encoder) -> str:
+    """Type of the ids in the dictionary: two bytes where the vocabulary allows it."""
+    def make() -> str:
+        return "<u2" if max(encoder.tokenizer.get_vocab(with_added_tokens=True).values(), default=0) < 1 << 16 else "<u4"
+
+    return worker_store(f"width:{id(encoder)}", make)
+
+
+def recast(ids: bytes, given: str, wanted: str) -> bytes:
+    return ids if given == wanted else np.frombuffer(ids, given).astype(wanted).tobytes()
+
+
 _ENTRY = "pieces int, head int, tail int, first int, first_ids int, last int, last_ids int, ids binary"
 _ENTRY_FIELDS = [f.split()[0] for f in _ENTRY.split(", ")]
 
@@ -240,6 +252,8 @@ def dictionary(chunks: DataFrame, tokenizer: str) -> DataFrame:
     def work(batch):
         encoder = worker_encoder(tokenizer)
         entries = [make_entry(encoder, c.decode()) for c in batch.column(1).to_pylist()]
+        for e in entries:
+            e.ids = recast(e.ids, "<u4", id_width(encoder))
         return [batch.column(0), *([getattr(e, f) for e in entries] for f in _ENTRY_FIELDS)]
 
     return map_rows(chunks.dropDuplicates(["home"]), f"key binary, {_ENTRY}", work)
@@ -248,7 +262,7 @@ def dictionary(chunks: DataFrame, tokenizer: str) -> DataFrame:
 def _finish(left: pa.Table, right: pa.Table, tokenizer: str, schema: pa.Schema) -> pa.Table:
     encoder = worker_encoder(tokenizer)
     columns = [right.column(f).to_pylist() for f in ["key", *_ENTRY_FIELDS]]
-    known = {row[0]: Entry(*row[1:]) for row in zip(*columns)}
+    known = {row[0]: Entry(*row[1:-1], recast(row[-1], id_width(encoder), "<u4")) for row in zip(*columns)}
     texts = left.column("body").to_pylist()
     ids = []
     for text, ends in zip(texts, chunk_ends(texts)):

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from ebbtide.llm import bpe
-from ebbtide.llm.bpe import Decoder, chunk_ends, chunks_of, encode_decode, make_entry, splice
+from ebbtide.llm.bpe import Decoder, chunk_ends, chunks_of, dictionary, digest, encode_decode, id_width, make_entry, recast, splice
 from ebbtide.llm.encoder import Encoder
 
 
@@ -61,6 +62,17 @@ def test_wrong_entry_is_noticed_at_the_join(encoder):
     assert splice(encoder, texts, entries) == encoder.direct(["".join(texts)])[0]
 
 
+def test_dictionary_holds_two_bytes_an_id_where_they_suffice(spark, tokenizer, encoder):
+    texts = ["one two three four five six", "naïve 日本 \x7f and more words here"]
+    chunks = spark.createDataFrame([(digest(t.encode()), t.encode()) for t in texts], "home binary, body binary")
+    got = {bytes(r.key): bytes(r.ids) for r in dictionary(chunks, tokenizer).collect()}
+    for t in texts:
+        whole = make_entry(encoder, t).ids
+        assert len(got[digest(t.encode())]) == len(whole) // 2 and recast(got[digest(t.encode())], "<u2", "<u4") == whole
+    large = SimpleNamespace(tokenizer=SimpleNamespace(get_vocab=lambda with_added_tokens: {"a": 0, "b": 1 << 16}))
+    assert id_width(large) == "<u4" and recast(b"\0\0\1\0", "<u4", "<u4") == b"\0\0\1\0"
+
+
 def test_decoder(encoder):
     for t in ["", "naïve <|endoftext|> 日本\x00\x7f\xad", prose(random.Random(1), 300)]:
         ids = encoder.direct([t])[0]
