@@ -1,6 +1,7 @@
 """Exact silhouettes of Euclidean distance, for several assignments in one pass over block pairs.
 
-Equal points with equal labels are collapsed to one with a number of copies.  Points lie in blocks
+Equal points with equal labels are collapsed to one with a number of copies, and equal points of a
+block are measured once.  Points lie in blocks
 of bounded size, each within one cluster of the finest assignment; a block is one row.  The
 distances of a pair of blocks are computed once and added up per cluster of every assignment, so no
 pair of points is ever a row.  Neither is a pair of blocks ever written: a task reads its own blocks
@@ -10,6 +11,9 @@ A point needs its mean distance to its own cluster, and to the nearest other one
 distance to a cluster is at least the distance to its mean, and at most the root of the mean
 squared distance, which mean and variance of the cluster give.  A cluster whose lower bound is
 above the least upper bound cannot be the nearest; pairs of blocks that no point needs are skipped.
+
+A point that lacks a coordinate has no distances: its silhouette is 0, and the sums over its cluster
+leave it out, while it counts in the size of the cluster.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.operators.binning import vector_length
@@ -27,11 +31,11 @@ from ebbtide.sources.staging import stage
 
 #: Most points of a block, blocks that are aimed at so that few points keep all cores busy, and
 #: points of either side whose distances are in memory at a time.
-BLOCK_ROWS, LEAST_BLOCKS, ROWS_AT_ONCE, OTHERS_AT_ONCE = 16_384, 8, 512, 256
+BLOCK_ROWS, LEAST_BLOCKS, ROWS_AT_ONCE, OTHERS_AT_ONCE = 16_384, 8, 1_024, 128
 #: Bytes of blocks that a task meets its own blocks with, blocks whose sums it holds, and partial
 #: sums of a block that are added at a time.
 STRIPE_BYTES, HELD_BLOCKS, PARTS = 256 << 20, 4, 16
-_BLOCK = "block long, rows int, x binary, copies binary, labels binary, needs array<int>, holds array<int>"
+_BLOCK = "block long, points int, rows int, x binary, place binary, copies binary, labels binary, needs array<int>, holds array<int>"
 
 
 def _collapsed(df: DataFrame, labels: list[str], features: str) -> DataFrame:
@@ -41,8 +45,16 @@ def _collapsed(df: DataFrame, labels: list[str], features: str) -> DataFrame:
     return kept.where(~F.exists("labels", lambda c: c.isNull())).groupBy("x", "labels").agg(F.count("*").alias("copies"))
 
 
+def _gap() -> Column:
+    """Whether a point lacks a coordinate."""
+    return F.coalesce(F.exists("x", lambda v: v.isNull()), F.lit(True))
+
+
 class _Clusters:
-    """Size, mean and mean squared deviation of every cluster of every assignment, side by side."""
+    """Sizes, mean and mean squared deviation of every cluster of every assignment, side by side.
+
+    ``size`` counts all points, ``share`` is that of the points without a gap, which have the moments.
+    """
 
     def __init__(self, rows: list, labels: int):
         self.first, self.names = [0], []
@@ -52,8 +64,9 @@ class _Clusters:
             self.first.append(self.first[-1] + len(own))
         ordered = sorted(rows, key=lambda r: (r.m, r.label))
         self.size = np.array([r.n for r in ordered], float)
-        self.mean = np.array([r.mean for r in ordered])
-        self.spread = np.maximum(np.array([r.square for r in ordered]) - (self.mean ** 2).sum(1), 0.0)
+        self.share = np.array([r.whole for r in ordered]) / self.size
+        self.mean = np.array([r.mean if r.whole else [0.0] * len(r.mean) for r in ordered])
+        self.spread = np.maximum(np.array([r.square or 0.0 for r in ordered]) - (self.mean ** 2).sum(1), 0.0)
 
     def columns(self, labels: np.ndarray) -> np.ndarray:
         """Numbers of the clusters of every point, an assignment a column."""
@@ -63,6 +76,9 @@ class _Clusters:
         """Which clusters each point has to be measured against."""
         lower = squared_distances(x, self.mean)
         upper = lower + self.spread
+        with np.errstate(invalid="ignore"):
+            # Sums over the points without a gap are divided by the size of the whole cluster.
+            lower, upper = (np.where(self.share > 0, bound * self.share ** 2, np.inf) for bound in (lower, upper))
         out = np.zeros(lower.shape, bool)
         rows = np.arange(len(x))
         for m, (a, b) in enumerate(zip(self.first, self.first[1:])):
@@ -71,20 +87,56 @@ class _Clusters:
             # Room for the rounding of the matrix product.
             out[:, a:b] = lower[:, a:b] <= other.min(axis=1, initial=np.inf)[:, None] * (1 + 1e-9) + 1e-9
             out[rows, own[:, m]] = True
-        return out
+        return out & (self.share > 0)
 
 
 def _clusters(points: DataFrame, labels: int, width: int) -> _Clusters:
     each = points.select("copies", "x", F.posexplode("labels").alias("m", "label"))
-    means = [(F.sum(F.col("x")[i] * F.col("copies")) / F.sum("copies")) for i in range(width)]
+    weight = F.when(~_gap(), F.col("copies"))
+    means = [(F.sum(F.col("x")[i] * weight) / F.sum(weight)) for i in range(width)]
     square = F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)
     rows = each.groupBy("m", "label").agg(
-        F.sum("copies").alias("n"), F.array(*means).alias("mean"), (F.sum(square * F.col("copies")) / F.sum("copies")).alias("square"))
+        F.sum("copies").alias("n"), F.coalesce(F.sum(weight), F.lit(0)).alias("whole"), F.array(*means).alias("mean"),
+        (F.sum(square * weight) / F.sum(weight)).alias("square"))
     return _Clusters(rows.collect(), labels)  # a row per cluster
 
 
-def _read(raw: bytes, copies: bytes, labels: bytes, rows: int):
-    return (np.frombuffer(raw).reshape(rows, -1), np.frombuffer(copies), np.frombuffer(labels, np.int64).reshape(rows, -1))
+def _read(points: int, rows: int, raw: bytes, place: bytes, copies: bytes, labels: bytes):
+    """Distinct points of a block, the place of every row among them, its copies and its clusters."""
+    return (np.frombuffer(raw).reshape(points, -1), np.frombuffer(place, np.int32), np.frombuffer(copies),
+            np.frombuffer(labels, np.int64).reshape(rows, -1))
+
+
+def _add_distances(sums: np.ndarray, x: np.ndarray, y: np.ndarray, copies: np.ndarray, clusters: np.ndarray) -> None:
+    """Add the distances of every point of ``x`` to the rows of ``y``, up to the clusters of these."""
+    # Rows of the same clusters side by side: their distances are added up before they go to the clusters.
+    kinds, kind = np.unique(clusters, axis=0, return_inverse=True)
+    order = np.argsort(kind.ravel(), kind="stable")
+    y, copies, kind = y[order], copies[order], kind.ravel()[order]
+    hot = np.zeros((len(kinds), sums.shape[1]))
+    hot[np.arange(len(kinds))[:, None], kinds] = 1.0
+    xx, yy = (x * x).sum(1), (y * y).sum(1)
+    left, right = np.column_stack([x, xx, np.ones(len(x))]), np.vstack([-2.0 * y.T, np.ones(len(y)), yy])
+    for to in range(0, len(y), OTHERS_AT_ONCE):
+        theirs = slice(to, to + OTHERS_AT_ONCE)
+        first, last = kind[theirs][0], kind[theirs][-1] + 1
+        into = np.zeros((len(y[theirs]), last - first))
+        into[np.arange(len(into)), kind[theirs] - first] = copies[theirs]
+        if last - first >= sums.shape[1]:
+            into, first, last = into @ hot[first:last], 0, 0
+        most = yy[theirs].max()
+        for at in range(0, len(x), ROWS_AT_ONCE):
+            mine = slice(at, at + ROWS_AT_ONCE)
+            far = left[mine] @ right[:, theirs]
+            # The matrix product loses digits where points are close: those are measured again.
+            close = far <= 1e-6 * (xx[mine, None] + most)
+            if close.any():
+                i, j = np.nonzero(close)
+                own = far[i, j] <= 1e-6 * (xx[mine][i] + yy[theirs][j])
+                i, j = i[own], j[own]
+                far[i, j] = ((x[mine][i] - y[theirs][j]) ** 2).sum(1)
+            added = np.sqrt(far, out=far) @ into
+            sums[mine] += added @ hot[first:last] if last else added
 
 
 def silhouettes(df: DataFrame, labels: list[str], features: str = "features", block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -92,18 +144,19 @@ def silhouettes(df: DataFrame, labels: list[str], features: str = "features", bl
 
     A point alone in its cluster has silhouette 0; so have all points of an assignment with one
     cluster.  Rows without a label in some column are left out; an empty frame gives no row.
+    Points that lack a coordinate have silhouette 0.
     """
     spark, width = df.sparkSession, vector_length(df, features)
-    points = stage(_collapsed(df, labels, features), "points")
-    n = points.count()
-    if not n:
+    every = stage(_collapsed(df, labels, features), "points")
+    if every.isEmpty():
         return spark.createDataFrame([], "assignment string, silhouette double, n long")
-    known = _clusters(points, len(labels), width)
+    points = every.where(~_gap())
+    n, known = points.count(), _clusters(every, len(labels), width)
     finest = int(np.argmax(np.diff(known.first)))
     aimed = min(block_rows, max(-(-n // LEAST_BLOCKS), 1))
     cell = F.col("labels")[finest]
     sizes = points.groupBy(cell.alias("cell")).agg(F.ceil(F.count("*") / aimed).alias("parts"))
-    dealt = points.withColumn("cell", cell).join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("x", "labels"), "parts"))
+    dealt = points.withColumn("cell", cell).join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("x"), "parts"))
 
     def pack(group: pa.Table) -> pa.Table:
         x = group.column("x").combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1)
@@ -113,20 +166,21 @@ def silhouettes(df: DataFrame, labels: list[str], features: str = "features", bl
         need = np.zeros(known.first[-1], bool)
         for at in range(0, len(x), ROWS_AT_ONCE):
             need |= known.needed(x[at:at + ROWS_AT_ONCE], own[at:at + ROWS_AT_ONCE]).any(axis=0)
-        columns = (x, group.column("copies").to_numpy().astype(float), own)
-        return pa.table({"block": pa.array([block], pa.int64()), "rows": pa.array([len(x)], pa.int32()),
-                         **{c: pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for c, v in zip(("x", "copies", "labels"), columns)},
+        points, place = np.unique(x, axis=0, return_inverse=True)
+        columns = (points, place.ravel().astype(np.int32), group.column("copies").to_numpy().astype(float), own)
+        return pa.table({"block": pa.array([block], pa.int64()), "points": pa.array([len(points)], pa.int32()), "rows": pa.array([len(x)], pa.int32()),
+                         **{c: pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for c, v in zip(("x", "place", "copies", "labels"), columns)},
                          **{c: pa.array([v.tolist()], pa.list_(pa.int32())) for c, v in (("needs", np.flatnonzero(need)), ("holds", np.unique(own)))}})
 
     blocks = stage(dealt.groupBy("cell", "part").applyInArrow(pack, _BLOCK), "blocks")
-    count, size = blocks.agg(F.count("*"), F.sum(F.octet_length("x") + F.octet_length("labels") + F.octet_length("copies"))).first()
-    stripes = -(-size // STRIPE_BYTES)
+    count, size = blocks.agg(F.count("*"), F.sum(sum((F.octet_length(c) for c in ("place", "copies", "labels")), F.octet_length("x")))).first()
+    stripes = max(-(-(size or 0) // STRIPE_BYTES), 1)
     # The blocks that hold a cluster which some point of a block needs.
-    theirs = blocks.select(F.col("rows").alias("other_rows"), F.col("x").alias("other_x"), F.col("copies").alias("other_copies"),
-                           F.col("labels").alias("other_labels"), "holds").repartition(stripes)
-    met = blocks.select("block", "rows", "x", "needs").repartition(count).join(
+    columns = ("points", "rows", "x", "place", "copies", "labels")
+    theirs = blocks.select(*[F.col(c).alias(f"other_{c}") for c in columns], "holds").repartition(stripes)
+    met = blocks.select("block", "points", "x", "needs").repartition(max(count, 1)).join(
         theirs.hint("shuffle_replicate_nl"), F.arrays_overlap("needs", "holds")).select(
-        "block", "rows", "x", "other_rows", "other_x", "other_copies", "other_labels")
+        "block", "points", "x", *[f"other_{c}" for c in columns])
 
     def measure(batches):
         from pyspark import TaskContext
@@ -141,28 +195,13 @@ def silhouettes(df: DataFrame, labels: list[str], features: str = "features", bl
 
         for batch in batches:
             for k in range(batch.num_rows):
-                block, count, raw, others, *their_raw = (c[k].as_py() for c in batch.columns)
-                x = np.frombuffer(raw).reshape(count, -1)
-                y, copies, clusters = _read(*their_raw, others)
-                hot = np.zeros((others, known.first[-1]))
-                hot[np.arange(others)[:, None], clusters] = copies[:, None]
+                block, count, raw, *their_raw = (c[k].as_py() for c in batch.columns)
+                y, place, copies, clusters = _read(*their_raw)
                 if block not in held:
                     if len(held) >= HELD_BLOCKS:
                         yield from emitted()
                     held[block] = np.zeros((count, known.first[-1]))
-                xx, yy, double = (x * x).sum(1), (y * y).sum(1), -2.0 * y.T
-                for at in range(0, count, ROWS_AT_ONCE):
-                    mine = x[at:at + ROWS_AT_ONCE]
-                    for to in range(0, others, OTHERS_AT_ONCE):
-                        theirs = slice(to, to + OTHERS_AT_ONCE)
-                        scale = xx[at:at + ROWS_AT_ONCE, None] + yy[None, theirs]
-                        far = mine @ double[:, theirs]
-                        far += scale
-                        # The matrix product loses digits where points are close: those are measured again.
-                        scale *= 1e-6
-                        i, j = np.nonzero(far <= scale)
-                        far[i, j] = ((mine[i] - y[theirs][j]) ** 2).sum(1)
-                        held[block][at:at + ROWS_AT_ONCE] += np.sqrt(far, out=far) @ hot[theirs]
+                _add_distances(held[block], np.frombuffer(raw).reshape(count, -1), y[place], copies, clusters)
         yield from emitted()
 
     schema = "block long, part int, sums binary"
@@ -179,11 +218,10 @@ def silhouettes(df: DataFrame, labels: list[str], features: str = "features", bl
         totals = np.zeros((len(labels), 2))
         for batch in batches:
             for k in range(batch.num_rows):
-                count, raw, copies, own, sums = (c[k].as_py() for c in batch.columns)
-                x, copies, own = _read(raw, copies, own, count)
-                far = np.frombuffer(sums).reshape(count, -1)
-                need = known.needed(x, own)
-                rows = np.arange(count)
+                count, n, *raw, sums = (c[k].as_py() for c in batch.columns)
+                x, place, copies, own = _read(count, n, *raw)
+                far, rows = np.frombuffer(sums).reshape(count, -1)[place], np.arange(n)
+                need = known.needed(x[place], own)
                 for m, (a, b) in enumerate(zip(known.first, known.first[1:])):
                     mean = np.where(need[:, a:b], far[:, a:b] / known.size[a:b], np.inf)
                     mine = own[:, m] - a
@@ -196,7 +234,10 @@ def silhouettes(df: DataFrame, labels: list[str], features: str = "features", bl
                     totals[m] += (np.nan_to_num(s) * copies).sum(), copies.sum()
         yield pa.RecordBatch.from_arrays([pa.array(range(len(labels)), pa.int32()), pa.array(totals[:, 0]), pa.array(totals[:, 1])], names=["m", "s", "n"])
 
-    scored = blocks.join(sums.select("block", "sums"), "block").select("rows", "x", "copies", "labels", "sums").mapInArrow(score, "m int, s double, n double")
+    scored = blocks.join(sums.select("block", "sums"), "block").select(*columns, "sums").mapInArrow(score, "m int, s double, n double")
+    without = every.where(_gap()).select(F.posexplode("labels").alias("m", "label"), "copies").select(
+        "m", F.lit(0.0).alias("s"), F.col("copies").cast("double").alias("n"))
+    scored = scored.unionByName(without)
     name = F.element_at(F.array(*[F.lit(c) for c in labels]), F.col("m") + 1)
     return scored.groupBy("m").agg((F.sum("s") / F.sum("n")).alias("silhouette"), F.sum("n").cast("long").alias("n")).select(
         name.alias("assignment"), "silhouette", "n")

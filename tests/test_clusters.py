@@ -148,6 +148,34 @@ def test_silhouettes_skip_far_clusters_and_missing_labels(spark):
     assert silhouettes(df.limit(0), ["c"]).count() == 0
 
 
+def test_silhouettes_of_points_with_gaps(spark):
+    """A missing coordinate: no distances, silhouette 0, and the sizes of the clusters count the point."""
+    x = np.round(blobs(90, 3, 1.5), 1).tolist()
+    for i in (4, 5, 17):
+        x[i][1] = None
+    rows = [(p, i % 3, 7 if i in (4, 17) else i % 2, 5) for i, p in enumerate(x)]
+    known = np.array(x, float)
+    far = np.sqrt(((known[:, None] - known[None]) ** 2).sum(2))
+
+    def plain(labels):
+        out = []
+        for i, own in enumerate(labels):
+            total = {c: far[i, labels == c] for c in set(labels.tolist())}
+            means = {c: np.nansum(d) / (len(d) - (c == own) if len(d) > 1 else 1) for c, d in total.items() if not np.isnan(d).all()}
+            others = [v for c, v in means.items() if c != own]
+            a, b = means.get(own), min(others, default=None)
+            out.append((b - a) / max(a, b) if b is not None and (labels == own).sum() > 1 and max(a, b) else 0.0)
+        return np.mean(out)
+
+    df = spark.createDataFrame(rows, "features array<double>, three int, gaps int, one int").repartition(3)
+    for size in (silhouette.BLOCK_ROWS, 25):
+        got = {r.assignment: r for r in silhouettes(df, ["three", "gaps", "one"], block_rows=size).collect()}
+        for k, name in ((1, "three"), (2, "gaps"), (3, "one")):
+            assert got[name].n == 90 and got[name].silhouette == pytest.approx(plain(np.array([r[k] for r in rows])), abs=1e-9)
+    only = df.where("features[1] IS NULL")
+    assert [(r.silhouette, r.n) for r in silhouettes(only, ["three", "one"]).collect()] == [(0.0, 3), (0.0, 3)]
+
+
 def test_sweep(frame):
     sweep = cluster.kmeans_sweep(frame, range(2, 7), starts=3)
     assert sweep.best_k == 4 and [r.k for r in sweep.table.collect()] == [2, 3, 4, 5, 6]
