@@ -265,3 +265,26 @@ def test_stream_fails_loudly_on_a_missing_model_feature(spark, customers):
 def test_stage_keeps_schema(spark):
     frame = spark.range(3).selectExpr("id", "array(cast(id AS double)) AS v")
     assert stage(frame, "x").schema.simpleString() == frame.schema.simpleString()
+
+
+def test_model_comparison_runs_at_full_size(spark, monkeypatch):
+    """A hundred trees and rounds and a thousand steps in five folds, not the sizes of a quick look."""
+    from ebbtide.plans import catalog
+
+    frame = spark.createDataFrame([(0,)], "x int").withColumn("fold", F.lit(0))
+    seen = {}
+
+    class Ready:
+        def vectors(self, part):
+            return frame
+
+    def compared(rows, test, estimators, k=5, **kwargs):
+        seen.update(estimators, k=k)
+        return train.Comparison(spark.createDataFrame([("a",)], "model string"), {}, None)
+
+    monkeypatch.setattr(catalog, "prepared", lambda s, d, folds=catalog.FOLDS: seen.update(folds=folds) or Ready())
+    monkeypatch.setattr(train, "compare_models", compared)
+    catalog.model_comparison(spark, "nowhere")
+    assert seen["k"] == seen["folds"] == 5
+    assert seen["Logistic Regression"].getMaxIter() == 1000 and seen["Random Forest"].getOrDefault("numTrees") == 100
+    assert seen["Gradient Boosting"].getMaxIter() == 100 and seen["XGBoost"].getOrDefault("maxIter") == 100
