@@ -204,6 +204,19 @@ def test_points_that_reach_all_leaves_are_met_without_written_visits(spark, monk
     assert ("visits" in written) == (dense == 0)
 
 
+def test_a_part_of_the_leaves_tells_whether_blocks_are_met(spark, monkeypatch):
+    """Pairs of all leaves are not written where most of them remain, and blocks hold several leaves."""
+    monkeypatch.setattr(neighbours, "ASKED_LEAVES", 4)
+    asked, pairs = [], neighbours.leaf_pairs
+    monkeypatch.setattr(neighbours, "leaf_pairs", lambda tree, reaches, k: asked.append(reaches.count()) or pairs(tree, reaches, k))
+    x = np.random.default_rng(7).random((240, 10)).round(1)
+    found = {r.id: [n.distance for n in r.neighbours] for r in nearest_neighbours(_points(spark, x), 5, 16).collect()}
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(far, np.inf)
+    np.testing.assert_allclose([found[i] for i in range(len(x))], np.sort(far, axis=1)[:, :5], atol=1e-9)
+    assert len(asked) == 1 and asked[0] < 12
+
+
 def test_few_points_have_few_neighbours(spark):
     assert nearest_neighbours(_points(spark, np.zeros((1, 2))), 3).count() == 0
     assert nearest_neighbours(_points(spark, np.ones((1, 2))).limit(0), 3).count() == 0
